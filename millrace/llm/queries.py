@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import linkage
+from millrace.llm.mixing import Mixer
+from millrace.llm.packing import fill, pack
+from millrace.llm.percentiles import Percentiles
 from millrace.session import table
 
 
@@ -19,5 +22,48 @@ def p7_representatives(spark: SparkSession, d: str) -> DataFrame:
     return reps.select(F.col("id").alias("trip_id"), F.col("rep").alias("representative_id"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_representatives)}
-ORACLE: dict[str, str] = {}
+PROBABILITIES = [0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
+MEASURES = ["fare_amount", "trip_minutes", "tip_pct"]
+
+
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    p = Percentiles(["pickup_zone_id"], MEASURES, PROBABILITIES)
+    return p.resolve(p.state(table(spark, d, "fact_trips")))
+
+
+def p4_monthly_medians(spark: SparkSession, d: str) -> DataFrame:
+    """States of single days, merged to months."""
+    p = Percentiles(["month"], MEASURES, [0.5])
+    month = F.floor(F.col("date_key") / 100).cast("int")
+    days = p.state(table(spark, d, "fact_trips").withColumn("month", month), "date_key")
+    return p.resolve(p.merge(days.drop("date_key")))
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return pack(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    capacities = table(spark, d, "pack_capacities")
+    return fill(pack(table(spark, d, "documents"), capacities), capacities)
+
+
+def p9_sample(spark: SparkSession, d: str) -> DataFrame:
+    return Mixer(table(spark, d, "documents"), table(spark, d, "mix_targets")).sample()
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    m = Mixer(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return m.shares(m.sample())
+
+
+QUERIES = {f.__name__: f for f in (p4_percentiles, p4_monthly_medians, p7_found, p7_representatives, p8_packed, p8_fill, p9_sample, p9_shares)}
+
+_RANKED = """v AS (SELECT {g}, unnest(['fare_amount', 'trip_minutes', 'tip_pct']) AS "column", unnest([fare_amount, trip_minutes, tip_pct]) AS v FROM fact_trips),
+ r AS (SELECT {k}, "column", v, row_number() OVER w AS rn, count(*) OVER (PARTITION BY {k}, "column") AS n FROM v WHERE v IS NOT NULL AND NOT isnan(v) WINDOW w AS (PARTITION BY {k}, "column" ORDER BY v)),
+ p AS (SELECT unnest([{p}]::DOUBLE[]) AS probability)
+SELECT {k}, "column", probability, CAST(round(v * 100) AS BIGINT) / 100.0::DOUBLE AS value, n FROM r JOIN p ON rn = greatest(1, CAST(ceil(probability * n) AS BIGINT))"""
+ORACLE: dict[str, str] = {
+    "p4_percentiles": "WITH " + _RANKED.format(g="pickup_zone_id", k="pickup_zone_id", p=", ".join(map(str, PROBABILITIES))),
+    "p4_monthly_medians": "WITH " + _RANKED.format(g="CAST(date_key // 100 AS INTEGER) AS month", k="month", p="0.5"),
+}
