@@ -9,6 +9,7 @@ from millrace.llm import linkage
 from millrace.llm.mixing import Mixer
 from millrace.llm.packing import fill, pack
 from millrace.llm.percentiles import Percentiles
+from millrace.llm.textquality import scored
 from millrace.session import table
 
 
@@ -57,7 +58,15 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return m.shares(m.sample())
 
 
-QUERIES = {f.__name__: f for f in (p4_percentiles, p4_monthly_medians, p7_found, p7_representatives, p8_packed, p8_fill, p9_sample, p9_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return scored(table(spark, d, "documents")).filter("not_prose >= 0.5").select("doc_id").distinct()
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return scored(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_percentiles, p4_monthly_medians, p7_found, p7_representatives, p8_packed, p8_fill, p9_sample, p9_shares, p10_found, p10_statistics)}
 
 _RANKED = """v AS (SELECT {g}, unnest(['fare_amount', 'trip_minutes', 'tip_pct']) AS "column", unnest([fare_amount, trip_minutes, tip_pct]) AS v FROM fact_trips),
  r AS (SELECT {k}, "column", v, row_number() OVER w AS rn, count(*) OVER (PARTITION BY {k}, "column") AS n FROM v WHERE v IS NOT NULL AND NOT isnan(v) WINDOW w AS (PARTITION BY {k}, "column" ORDER BY v)),
