@@ -26,8 +26,10 @@ LEAST_READINGS = 8
 IQR_FACTOR = 1.5
 #: So many rides in a row with exactly the same reading are a stuck sensor.
 STUCK_RUN = 6
-#: A source with more rows than this is cut into days for the run search, and the cuts are stitched.
+#: A source with more rows than this is cut into spans of time of about so many rows for the run search; the cuts are stitched.
 SPLIT_ROWS = 200_000
+#: The day of rows without a time.
+NO_DAY = -(10**6)
 
 
 @dataclass(frozen=True)
@@ -103,14 +105,22 @@ class SpikeDetector:
     def runs(self, df: DataFrame) -> DataFrame:
         """(_id, _stuck: array of reading numbers) of rows in a run of STUCK_RUN or more equal readings.
 
-        Rows of a hot source are cut into days. Runs inside a cut come from window functions; the
+        Rows of a hot source are cut into spans of time. Runs inside a cut come from window functions; the
         first and last run of every cut, a few rows each, are stitched across neighbouring cuts.
         """
         scratch = self.scratch or Scratch(df.sparkSession, "spikes")
         base = self._base(df).filter("_src IS NOT NULL")
-        hot = bounded_broadcast(scratch.write(base.groupBy("_src").count().filter(F.col("count") > self.split_rows).select(F.col("_src").alias("_hot")), "hot"))
-        rows = base.join(hot, F.col("_src") == F.col("_hot"), "left").withColumn(
-            "_cut", F.when(F.col("_hot").isNotNull(), F.coalesce(F.datediff(F.to_date("_t"), F.lit("1970-01-01").cast("date")), F.lit(-10**6))).otherwise(0)).drop("_hot")
+        day = F.coalesce(F.datediff(F.to_date("_t"), F.lit("1970-01-01").cast("date")), F.lit(NO_DAY))
+        per_day = base.groupBy("_src", day.alias("_day")).agg(F.count("*").alias("n"))
+        hot = scratch.write(per_day.groupBy("_src").agg(F.sum("n").alias("t")).filter(F.col("t") > self.split_rows), "hot")
+        parts = per_day.join(bounded_broadcast(hot), "_src").select(
+            F.col("_src").alias("_hot"), F.col("_day").alias("_hd"), F.ceil(F.col("n") / self.split_rows).alias("_parts"))
+        parts = bounded_broadcast(scratch.write(parts, "parts"))
+        # cuts of a day are equal spans of it, as many as its rows need; cut numbers grow with time
+        second = F.coalesce(F.hour("_t") * 3600 + F.minute("_t") * 60 + F.second("_t"), F.lit(0))
+        cut = F.when(F.col("_parts").isNotNull(), F.col("_day").cast("bigint") * 86400 + F.floor(second * F.least(F.col("_parts"), F.lit(86400)) / 86400)).otherwise(0)
+        rows = base.withColumn("_day", day).join(parts, (F.col("_src") == F.col("_hot")) & (F.col("_day") == F.col("_hd")), "left").withColumn(
+            "_cut", cut).drop("_hot", "_hd", "_parts", "_day")
         w = Window.partitionBy("_src", "_cut").orderBy("_t", "_id")
         k = range(len(self.readings))
         rows = rows.withColumns({f"_n{i}": F.when(F.lag(f"_r{i}").over(w) == F.col(f"_r{i}"), 0).otherwise(1) for i in k})

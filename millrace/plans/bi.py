@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.rounding import ROUNDINGS
 from millrace.operators.gold import money
+from millrace.session import bounded_broadcast
 
 
 def monthly_kpis(monthly: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def top_zones(daily: DataFrame, k: int = 15, rounding: str = "half_up") -> DataF
 
 def demand_heatmap(fact: DataFrame, dates: DataFrame) -> DataFrame:
     per = fact.groupBy("date_key", F.hour("pickup_ts").alias("pickup_hour")).agg(F.count("*").alias("n"))
-    return per.join(F.broadcast(dates.select("date_key", "day_name", "day_of_week")), "date_key").groupBy("day_name", "day_of_week", "pickup_hour").agg(
+    return per.join(bounded_broadcast(dates.select("date_key", "day_name", "day_of_week")), "date_key").groupBy("day_name", "day_of_week", "pickup_hour").agg(
         F.sum("n").alias("trips")).orderBy("day_of_week", "pickup_hour")
 
 
@@ -33,7 +34,7 @@ def payment_mix(fact: DataFrame, payment_types: DataFrame, rounding: str = "half
     tip = F.when(~F.isnan("tip_pct"), F.col("tip_pct"))
     per = fact.groupBy("payment_type_id").agg(F.count("*").alias("n"), F.sum(F.when(~F.isnan("total_amount"), F.col("total_amount")).cast("decimal(18,2)")).alias("r"),
                                              F.sum(tip.cast("decimal(18,4)")).alias("t"), F.count(tip).alias("tn"))
-    return per.join(F.broadcast(payment_types.select("payment_type_id", "payment_type")), "payment_type_id", "left").groupBy("payment_type").agg(
+    return per.join(bounded_broadcast(payment_types.select("payment_type_id", "payment_type")), "payment_type_id", "left").groupBy("payment_type").agg(
         F.sum("n").alias("trips"), rnd(F.sum("r").cast("double")).alias("revenue"),
         rnd(F.when(F.sum("tn") > 0, F.sum("t").cast("double") / F.sum("tn"))).alias("avg_tip_pct")).orderBy(F.desc("trips"))
 

@@ -8,9 +8,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 #: A side is broadcast only if it was counted and holds no more rows than this.
 BROADCAST_ROWS = 200_000
+#: ... and takes no more megabytes than this.
+BROADCAST_MB = 128
 
 PINNED = {
     "spark.sql.session.timeZone": "UTC",
@@ -65,12 +68,28 @@ class Scratch:
             pass
 
 
+def _width(kind: DataType) -> int:
+    """Bytes that a value takes in a hash relation besides its text, generously."""
+    if isinstance(kind, StructType):
+        return 16 + sum(_width(f.dataType) for f in kind.fields)
+    if isinstance(kind, (ArrayType, MapType)):
+        return 256
+    return 24 if isinstance(kind, (StringType, BinaryType)) else 16
+
+
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it holds at most `rows` rows, else df as it is (Catalyst then shuffles).
+    """df with a broadcast hint if it is measured to be small, else df as it is (Catalyst then shuffles).
 
-    The count reads at most rows + 1 rows; give it a materialised or cheap frame.
+    Small means at most `rows` rows and BROADCAST_MB megabytes, text counted by its length. The
+    measurement reads at most rows + 1 rows; give it a materialised or cheap frame.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, (StringType, BinaryType))]
+    length = F.lit(0)
+    for t in texts:
+        length = length + F.coalesce(F.octet_length(F.col(f"`{t}`")), F.lit(0))
+    got = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(length).alias("b")).first()
+    size = got.n * (32 + sum(_width(f.dataType) for f in df.schema.fields)) + (got.b or 0)
+    return F.broadcast(df) if got.n <= rows and size <= BROADCAST_MB << 20 else df
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
