@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from millrace.config import LAYERS, Settings, parse_flag
 from millrace.operators import gold, silver
-from millrace.operators.merge import processed_files, unprocessed
+from millrace.operators.merge import unprocessed
 from millrace.operators.scd2 import scd2_apply
 from millrace.ops.audit import RUNS, RUNS_SCHEMA, AuditLog, audited
 from millrace.quality import recon
@@ -25,7 +25,8 @@ from millrace.store import Store
 from millrace.streaming.arrivals import load_new_files
 
 BRONZE, ZONES = "bronze.yellow_trips_raw", "bronze.taxi_zone_lookup"
-CLEAN, QUARANTINE, FILES = "silver.yellow_trips", "silver.yellow_trips_quarantine", "ops.processed_files"
+CLEAN, QUARANTINE = "silver.yellow_trips", "silver.yellow_trips_quarantine"
+ARRIVED, FILES = "ops.bronze_files", "ops.processed_files"
 FACT, DAILY, MONTHLY = "gold.fact_trips", "gold.agg_daily_zone_revenue", "gold.agg_monthly_kpis"
 DQ, RECON = "ops.dq_results", "ops.recon_results"
 RECON_SCHEMA = "run_id string, env string, check_name string, scope string, source_value double, target_value double, difference double, passed boolean, checked_at timestamp_ntz"
@@ -69,7 +70,7 @@ class Pipeline:
                 self.tracked = StructType([f for f in self.store.read(BRONZE).schema.fields if f.name not in own])
             else:
                 self.tracked = self.spark.read.parquet(f"{self.settings.landing}/{first[0]}").schema
-        total = load_new_files(self.spark, self.store, self.settings.landing, BRONZE, self.tracked, f"{self.settings.checkpoints}/bronze")
+        total = load_new_files(self.spark, self.store, self.settings.landing, BRONZE, self.tracked, f"{self.settings.checkpoints}/bronze", files=ARRIVED)
         zones = 0
         if any(f.endswith(".csv") for f in os.listdir(self.settings.landing_zones)):
             self.store.overwrite(ZONES, csv_snapshot(self.spark, self.settings.landing_zones))
@@ -81,33 +82,39 @@ class Pipeline:
         return run_checks(ev, load_rules(self.rules, layer), self.settings.run_id, self.settings.env, lambda df: self.store.append(DQ, df))
 
     def silver(self) -> dict:
-        """New files only, or everything on a full refresh. The files are listed before anything is written, the tagged
-        rows are written once and both tables filled from them, and the files are recorded last, so a run that breaks
-        off is repeated without loss: the batch folders and the merge on the hash make it idempotent."""
+        """New files only, or everything on a full refresh.
+
+        New files are found by name, from two small tables, and bronze is read for them alone: the list
+        is pushed into the scan, which skips row groups of other files. It is taken before anything is
+        written; the tagged rows are written once and both tables filled from them, and the files are
+        recorded last, so a run that breaks off is repeated without loss.
+        """
         raw = self.store.read(BRONZE)
         full = self.settings.full_refresh or not self.store.exists(CLEAN)
-        if not full:
-            done = self.store.read(FILES) if self.store.exists(FILES) else processed_files(self.store.read(CLEAN), self.store.read(QUARANTINE))
-            raw = unprocessed(raw, done)
-        files = raw.select("_source_file").distinct()
-        if raw.isEmpty():
+        files = self.store.read(ARRIVED).distinct()
+        if not full and self.store.exists(FILES):
+            files = unprocessed(files, self.store.read(FILES))
+        names = [r[0] for r in files.collect()]  # names of new files
+        if not names:
             return {"rows_in": 0, "rows_clean": 0, "rows_quarantined": 0, "skipped": True}
+        if not full:
+            raw = raw.filter(F.col("_source_file").isin(names))
+        file_list = self.spark.createDataFrame([(n,) for n in names], "_source_file string")
         stage = "silver.stage"
-        self.store.overwrite(stage, silver.silver_columns(silver.tagged(raw), "dq_violations").withColumn("_rows", F.lit(1)))
-        tagged = self.store.read(stage).drop("_rows")
+        self.store.overwrite(stage, silver.silver_columns(silver.tagged(raw), "dq_violations"))
+        tagged = self.store.read(stage)
         clean, bad = silver.split(tagged)
-        file_list = self.spark.createDataFrame(files.collect(), files.schema)  # names of new files
         if full:
             self.store.overwrite(CLEAN, clean, ["pickup_date"])
             self.store.overwrite(QUARANTINE, bad)
             self.store.overwrite(FILES, file_list)
         else:
-            self.store.merge_insert(CLEAN, clean, ["trip_hash"], self.settings.run_id)
-            self.store.merge_insert(QUARANTINE, bad, ["trip_hash"], self.settings.run_id)
+            self.store.merge_insert(CLEAN, clean, ["trip_hash"], self.settings.run_id, "pickup_date")
+            self.store.merge_insert(QUARANTINE, bad, ["trip_hash"], self.settings.run_id, "pickup_date")
             self.store.append(FILES, file_list, self.settings.run_id)
         n = tagged.agg(F.count("*").alias("n"), F.count_if(F.size("dq_violations") == 0).alias("c")).first()
         self.store.vacuum(stage, 1)
-        return {"rows_in": raw.count() if full else n.n, "rows_clean": n.c, "rows_quarantined": n.n - n.c, "skipped": False}
+        return {"rows_in": raw.count(), "rows_clean": n.c, "rows_quarantined": n.n - n.c, "skipped": False}
 
     def dimensions(self) -> dict:
         bounds = gold.date_bounds(self.store.read(CLEAN))
@@ -134,7 +141,7 @@ class Pipeline:
             self.store.overwrite(FACT, rows, ["date_key"])
             mode = "full"
         else:
-            self.store.merge_insert(FACT, rows, ["trip_hash"], self.settings.run_id)
+            self.store.merge_insert(FACT, rows, ["trip_hash"], self.settings.run_id, "date_key")
             mode = "incremental_merge"
         return {"mode": mode, "rows": self.store.count(FACT)}
 

@@ -1,22 +1,40 @@
 """Versioned snapshot tables on plain Parquet.
 
-A table is a folder of immutable versions and a pointer file that names the current one. A change
-writes a new version (or adds to none) and then moves the pointer, so readers never see half a
-change, a table may be read while it is replaced, and earlier versions can be restored. Appends
-write a batch folder inside the current version under a name of their own; repeating a batch
-replaces it. One writer per table is assumed.
+A table is a folder of versions and a log. Each log entry names the current version and the table's
+schema; entries are only ever added, by renaming a finished file, so readers never see half a change,
+a table may be read while it is replaced, and earlier versions can be restored. Appends write a batch
+folder inside the current version under a name of their own; repeating a batch replaces it. Since the
+log holds the schema, a read opens no footers to find it. One writer per table is assumed.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.operators.merge import new_rows, require_unique
 
 
+class SchemaConflict(ValueError):
+    """A batch gives a column another type."""
+
+
+def merged(have: StructType, more: StructType) -> StructType:
+    """have, then the fields that only more has; all nullable."""
+    kinds = {f.name.lower(): f.dataType for f in have.fields}
+    for f in more.fields:
+        if kinds.get(f.name.lower(), f.dataType) != f.dataType:
+            raise SchemaConflict(f"{f.name} is {kinds[f.name.lower()].simpleString()}, not {f.dataType.simpleString()}")
+    out = StructType()
+    for f in [*have.fields, *(f for f in more.fields if f.name.lower() not in kinds)]:
+        out = out.add(f.name, f.dataType, True)
+    return out
+
+
 class Store:
     """Tables named `layer.table` under one root folder."""
 
@@ -29,81 +47,116 @@ class Store:
     def _dir(self, name: str) -> str:
         return f"{self.root}/{name.replace('.', '/')}"
 
-    def _exists(self, path: str) -> bool:
-        return self._fs.exists(self._path(path))
+    def _names(self, folder: str) -> list[str]:
+        p = self._path(folder)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
 
-    def exists(self, name: str) -> bool:
-        return self._exists(f"{self._dir(name)}/_current")
+    def _entries(self, name: str) -> list[str]:
+        return [x for x in self._names(f"{self._dir(name)}/_log") if x.isdigit()]
 
-    def version(self, name: str) -> int:
-        """The current version, 0 if there is no table."""
-        if not self.exists(name):
-            return 0
-        stream = self._fs.open(self._path(f"{self._dir(name)}/_current"))
+    def _entry(self, name: str) -> dict | None:
+        entries = self._entries(name)
+        if not entries:
+            return None
+        stream = self._fs.open(self._path(f"{self._dir(name)}/_log/{entries[-1]}"))
         try:
-            return int(bytes(stream.readAllBytes()).decode())
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def versions(self, name: str) -> list[int]:
-        if not self._exists(self._dir(name)):
-            return []
-        return sorted(int(s.getPath().getName()[1:]) for s in self._fs.listStatus(self._path(self._dir(name))) if s.getPath().getName().startswith("v"))
-
-    def _point(self, name: str, version: int) -> None:
-        tmp, at = self._path(f"{self._dir(name)}/_next-{uuid.uuid4().hex}"), self._path(f"{self._dir(name)}/_current")
+    def _record(self, name: str, version: int, schema: StructType) -> None:
+        entries = self._entries(name)
+        number = int(entries[-1]) + 1 if entries else 1
+        tmp = self._path(f"{self._dir(name)}/_log/next-{uuid.uuid4().hex}")
         out = self._fs.create(tmp, True)
         try:
-            out.write(str(version).encode())
+            out.write(json.dumps({"version": version, "schema": schema.jsonValue()}).encode())
         finally:
             out.close()
-        if self._fs.exists(at):
-            self._fs.delete(at, False)
-        if not self._fs.rename(tmp, at):
-            raise OSError(f"cannot move the pointer of {name}")
+        if not self._fs.rename(tmp, self._path(f"{self._dir(name)}/_log/{number:010d}")):
+            raise OSError(f"another writer changed {name}")
 
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        """A version's rows; batches that differ in columns are read together."""
-        return self.spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(f"{self._dir(name)}/v{version or self.version(name)}")
+    def exists(self, name: str) -> bool:
+        return bool(self._entries(name))
+
+    def version(self, name: str) -> int:
+        """The current version, 0 if there is no table."""
+        entry = self._entry(name)
+        return entry["version"] if entry else 0
+
+    def versions(self, name: str) -> list[int]:
+        return sorted(int(x[1:]) for x in self._names(self._dir(name)) if x.startswith("v"))
+
+    def schema(self, name: str) -> StructType:
+        entry = self._entry(name)
+        if entry is None:
+            raise ValueError(f"there is no table {name}")
+        return StructType.fromJson(entry["schema"])
+
+    def read(self, name: str) -> DataFrame:
+        """The current rows; columns that a batch lacks are null."""
+        entry = self._entry(name)
+        if entry is None:
+            raise ValueError(f"there is no table {name}")
+        return self.spark.read.schema(StructType.fromJson(entry["schema"])).option("recursiveFileLookup", True).parquet(f"{self._dir(name)}/v{entry['version']}")
 
     def overwrite(self, name: str, df: DataFrame, cluster_by: list[str] | None = None) -> int:
-        """Writes df as a new version; it may be computed from the current one. cluster_by keeps ranges of these columns together, so that scans skip files."""
+        """Writes df as a new version; it may be computed from the current one. cluster_by keeps ranges of these columns
+        together, so that scans skip files and row groups."""
         v = max([0, *self.versions(name)]) + 1
         if cluster_by:
             df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
         df.write.mode("overwrite").parquet(f"{self._dir(name)}/v{v}/base")
-        self._point(name, v)
+        self._record(name, v, merged(StructType(), df.schema))
         return v
 
     def append(self, name: str, df: DataFrame, batch: str | None = None) -> None:
         """Adds df as one batch; a batch of the same name is replaced, so a repeated write adds nothing twice."""
-        v = self.version(name) or max([0, *self.versions(name)]) + 1
+        have = self.exists(name)
+        v = self.version(name) if have else max([0, *self.versions(name)]) + 1
+        before = self.schema(name) if have else StructType()
+        after = merged(before, df.schema)
         df.write.mode("overwrite").parquet(f"{self._dir(name)}/v{v}/b-{batch or uuid.uuid4().hex}")
-        if not self.exists(name):
-            self._point(name, v)
+        if not have or after != before:
+            self._record(name, v, after)
 
-    def merge_insert(self, name: str, stage: DataFrame, key: list[str], batch: str | None = None) -> None:
-        """Appends the stage's rows whose key is new. The stage must not repeat a key."""
+    def merge_insert(self, name: str, stage: DataFrame, key: list[str], batch: str | None = None, within: str | None = None) -> None:
+        """Appends the stage's rows whose key is new. The stage must not repeat a key.
+
+        `within` names a column that the key determines (a date of a time in the key): only target
+        rows in the stage's range of it are compared, so with a clustered target the merge reads the
+        stage's days and not the table.
+        """
         require_unique(stage, key)
-        self.append(name, new_rows(self.read(name), stage, key) if self.exists(name) else stage, batch)
+        if not self.exists(name):
+            return self.append(name, stage, batch)
+        target = self.read(name)
+        if within:
+            r = stage.agg(F.min(within).alias("lo"), F.max(within).alias("hi")).first()
+            own = F.col(within).isNull()
+            target = target.filter(own | F.col(within).between(F.lit(r.lo), F.lit(r.hi)) if r.lo is not None else own)
+        return self.append(name, new_rows(target, stage, key), batch)
 
     def restore(self, name: str, version: int) -> None:
         if version not in self.versions(name):
             raise ValueError(f"{name} has no version {version}")
-        self._point(name, version)
+        df = self.spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(f"{self._dir(name)}/v{version}")
+        self._record(name, version, df.schema)
 
-    def compact(self, name: str, files: int | None = None) -> int:
-        """Rewrites the current version into few files."""
+    def compact(self, name: str, files: int | None = None, cluster_by: list[str] | None = None) -> int:
+        """Rewrites the current version, batches and all, into few files."""
         df = self.read(name)
-        return self.overwrite(name, df.repartition(files) if files else df.repartition())
+        return self.overwrite(name, df if cluster_by else df.repartition(files) if files else df.repartition(), cluster_by)
 
     def vacuum(self, name: str, keep: int = 2) -> list[int]:
-        """Drops versions older than the last `keep`; never the current one."""
+        """Drops versions older than the last `keep`, never the current one, and log entries but the last."""
         now, gone = self.version(name), []
         for v in self.versions(name)[:-keep] if keep else self.versions(name):
             if v != now:
                 self._fs.delete(self._path(f"{self._dir(name)}/v{v}"), True)
                 gone.append(v)
+        for x in self._entries(name)[:-1]:
+            self._fs.delete(self._path(f"{self._dir(name)}/_log/{x}"), False)
         return gone
 
     def create(self, name: str, ddl: str) -> None:

@@ -15,8 +15,9 @@ from millrace.store import Store
 _FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def load_new_files(spark: SparkSession, store: Store, landing: str, table: str, tracked: StructType, checkpoint: str, pattern: str = "*.parquet") -> int:
-    """Adds every file of the landing folder that was not seen before; returns the table's rows.
+def load_new_files(spark: SparkSession, store: Store, landing: str, table: str, tracked: StructType, checkpoint: str, pattern: str = "*.parquet", files: str | None = None) -> int:
+    """Adds every file of the landing folder that was not seen before; returns the table's rows. `files` names a table
+    that gets the names of the files, so that later steps find new ones without a scan of the rows.
 
     The stream reads names and paths only (the file-arrival source with `availableNow`), so files of
     any schema pass; each micro-batch reads its files under the tracked schema, leftovers rescued. A
@@ -29,7 +30,10 @@ def load_new_files(spark: SparkSession, store: Store, landing: str, table: str,
         paths = [r.path for r in batch.select("path").collect()]  # file names of one micro-batch
         if paths:
             rows = read_rescued(spark, sorted(paths), tracked).withColumn("_ingested_at", F.current_timestamp().cast("timestamp_ntz"))
-            store.append(table, rows, batch="files-" + hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:32])
+            batch_name = "files-" + hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:32]
+            store.append(table, rows, batch_name)
+            if files:
+                store.append(files, spark.createDataFrame([(p.rsplit("/", 1)[-1],) for p in paths], "_source_file string"), batch_name)
 
     query = names.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -13,7 +13,7 @@ from millrace.ops.audit import RUNS, AuditLog, audited
 from millrace.ops.runner import BRONZE, CLEAN, DAILY, FACT, QUARANTINE, Pipeline
 from millrace.sources.files import count_rows, csv_snapshot, read_rescued
 from millrace.sources.lander import fetch, land_month
-from millrace.store import Store
+from millrace.store import SchemaConflict, Store
 from millrace.streaming.arrivals import load_new_files
 
 
@@ -35,6 +35,8 @@ def test_store_versions(store, frame):
     store.append("gold.t", frame([(3, "c")], "k int, v string"), "b1")
     store.append("gold.t", frame([(3, "c")], "k int, v string"), "b1")  # the same batch again
     store.append("gold.t", frame([(4, "d", 1)], "k int, v string, more int"))
+    with pytest.raises(SchemaConflict):
+        store.append("gold.t", frame([("x",)], "k string"))
     assert store.count("gold.t") == 4 and "more" in store.read("gold.t").columns
     store.merge_insert("gold.t", frame([(4, "x"), (5, "y")], "k int, v string"), ["k"])
     assert rows(store.read("gold.t"), "k", "v")[-2:] == [(4, "d"), (5, "y")]
@@ -156,3 +158,12 @@ def test_two_batches_end_to_end(spark, tmp_path, frame):
     before = hashes(CLEAN) | hashes(QUARANTINE)
     run("2024-02", full=True)
     assert hashes(CLEAN) | hashes(QUARANTINE) == before
+
+
+def test_merge_reads_only_the_range_of_the_stage(store, frame):
+    ddl = "k string, d date"
+    store.overwrite("t.x", frame([("a", "2024-01-01"), ("b", "2024-01-05"), ("n", None)], ddl), ["d"])
+    store.merge_insert("t.x", frame([("b", "2024-01-05"), ("c", "2024-01-06"), ("n", None)], ddl), ["k"], "b1", "d")
+    assert rows(store.read("t.x"), "k") == [("a",), ("b",), ("c",), ("n",)]
+    store.merge_insert("t.x", frame([("n", None)], ddl), ["k"], "b2", "d")
+    assert store.count("t.x") == 4
