@@ -14,8 +14,9 @@ import re
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField, StructType
 
 ADD, DELETE, MOVE, RETYPE = 1.0, 1.0, 0.8, 0.3
 #: A rename costs at most this; a dearer one is an add and a delete.
@@ -192,6 +193,70 @@ def compile_projection(script: list[Edit], target) -> list[Column]:
     return [build(f, (), ()).alias(f.name) for f in target.fields]
 
 
+def union_schema(schemas: list[StructType]) -> StructType:
+    """One schema for files in order: the first one's fields, then those that later files add. A renamed or moved field
+    is the field it was; a type that changes is widened between numbers and text otherwise."""
+    out = schemas[0]
+    for s in schemas[1:]:
+        script = edit_script(tree_of(out), tree_of(s))
+        known = {e.to: e.path for e in script if e.op in ("rename", "move")}
+
+        def add(have: StructType, more: StructType, path: tuple[str, ...], known=known) -> StructType:
+            fields = {f.name: f for f in have.fields}
+            for f in more.fields:
+                here = (*path, f.name)
+                name = known[here][-1] if here in known and known[here][:-1] == path else f.name
+                if here in known and known[here][:-1] != path:
+                    continue  # moved: it stays where it was
+                old = fields.get(name)
+                if old is None:
+                    fields[name] = StructField(name, f.dataType, True)
+                elif isinstance(old.dataType, StructType) and isinstance(f.dataType, StructType):
+                    fields[name] = StructField(name, add(old.dataType, f.dataType, here), True)
+                else:
+                    fields[name] = StructField(name, wider(old.dataType, f.dataType), True)
+            return StructType(list(fields.values()))
+
+        out = add(out, s, ())
+    return out
+
+
+#: Numbers by width (fixed order of the engine's own types).
+_NUMBERS = (ByteType, ShortType, IntegerType, LongType, FloatType, DoubleType)
+
+
+def wider(a: DataType, b: DataType) -> DataType:
+    if a == b:
+        return a
+    rank = {k: i for i, k in enumerate(_NUMBERS)}
+    if type(a) in rank and type(b) in rank:
+        pair = {type(a), type(b)}
+        if pair == {LongType, FloatType} or pair == {IntegerType, FloatType}:
+            return DoubleType()
+        return a if rank[type(a)] > rank[type(b)] else b
+    return StringType()
+
+
+def read_unified(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[tuple[str, list[Edit]]]]:
+    """Parquet files of drifting, nested schemas as one table, and each file's script against the file before it.
+
+    Paths are taken in their order. Files of one schema are one scan, each with the projection that its
+    script compiles to, so Spark reads only what the projection needs.
+    """
+    schemas = [(p, spark.read.parquet(p).schema) for p in paths]
+    target = union_schema([s for _, s in schemas])
+    scripts = [(p, edit_script(tree_of(before), tree_of(s))) for (_, before), (p, s) in zip(schemas, schemas[1:])]
+    groups: dict[str, tuple[StructType, list[str]]] = {}
+    for p, s in schemas:
+        groups.setdefault(s.json(), (s, []))[1].append(p)
+    out = None
+    for s, files in groups.values():
+        to_target = edit_script(tree_of(s), tree_of(target))
+        part = spark.read.schema(s).parquet(*files).select(*compile_projection(to_target, target), F.col("_metadata.file_name").alias("_source_file"))
+        out = part if out is None else out.unionByName(part)
+    return out, scripts
+
+
 # ---- tables landed under a tracked schema, with the rest of each row in a rescued JSON column ----
 
 #: Spark types by the class that a change is reported in.

@@ -24,6 +24,9 @@ CONTEXT_WEIGHT = 50
 LEAST_READINGS = 8
 #: Fences stand this many interquartile ranges (of logarithms) outside the quartiles, at least.
 IQR_FACTOR = 1.5
+#: A reading this many times above or below both its neighbours in time is a jump, if it also lies outside the
+#: inner fences, which stand INNER interquartile ranges outside the quartiles.
+JUMP, INNER = 25.0, 1.5
 #: So many rides in a row with exactly the same reading are a stuck sensor.
 STUCK_RUN = 6
 #: A source with more rows than this is cut into spans of time of about so many rows for the run search; the cuts are stitched.
@@ -89,30 +92,30 @@ class SpikeDetector:
         return cum.groupBy(*by).agg(*q, F.max("t").alias("n")).select(*by, "n", *[((F.col(a) + 0.5) * width).alias(a) for a in ("q1", "q2", "q3")])
 
     def fences(self, sketch: DataFrame) -> DataFrame:
-        """(_src, _ctx, fences: array of (lo, hi) by reading), in the reading's own unit."""
+        """(_src, _ctx, fences: map of reading number to outer (lo, hi) and inner (ilo, ihi) fences), in the reading's own unit."""
         whole = self._quartiles(sketch, ["_src", "_m"]).filter(F.col("n") >= LEAST_READINGS)
         part = self._quartiles(sketch, ["_src", "_ctx", "_m"]).select("_src", "_ctx", "_m", F.col("n").alias("cn"), F.col("q2").alias("c2"))
         r = F.create_map(*[x for i, r in enumerate(self.readings) for x in (F.lit(i), F.struct(
             F.lit(math.log(r.times)).alias("up"), F.lit(-math.log(r.fraction)).alias("down")))])
         f = whole.join(part, ["_src", "_m"]).withColumn("_f", r[F.col("_m")])
         level = (F.col("c2") * F.col("cn") + F.col("q2") * CONTEXT_WEIGHT) / (F.col("cn") + CONTEXT_WEIGHT)
-        iqr = (F.col("q3") - F.col("q1")) * IQR_FACTOR
+        iqr, inner = ((F.col("q3") - F.col("q1")) * k for k in (IQR_FACTOR, INNER))
         hi = F.greatest(level + F.col("_f.up"), F.col("q3") + iqr)
         lo = F.least(level - F.col("_f.down"), F.col("q1") - iqr)
-        one = F.map_from_entries(F.collect_list(F.struct(F.col("_m"), F.struct(F.exp(lo).alias("lo"), F.exp(hi).alias("hi")).alias("f"))))
+        one = F.map_from_entries(F.collect_list(F.struct(F.col("_m"), F.struct(F.exp(lo).alias("lo"), F.exp(hi).alias("hi"), F.exp(F.col("q1") - inner).alias("ilo"), F.exp(F.col("q3") + inner).alias("ihi")).alias("f"))))
         return f.groupBy("_src", "_ctx").agg(one.alias("_fences"))  # as many entries as there are readings
 
-    def runs(self, df: DataFrame) -> DataFrame:
-        """(_id, _stuck: array of reading numbers) of rows in a run of STUCK_RUN or more equal readings.
+    def _ordered(self, df: DataFrame, scratch: Scratch) -> DataFrame:
+        """Rows that repeat a neighbour's reading, stand at the border of a cut, or jump: (_id, _src, _ctx, _cut, m, v, g,
+        f, l, run, jump), written. All window functions share one shuffle and one sort by time.
 
-        Rows of a hot source are cut into spans of time. Runs inside a cut come from window functions; the
-        first and last run of every cut, a few rows each, are stitched across neighbouring cuts.
+        Rows of a hot source are cut into spans of time, so no window holds more than about split_rows rows.
         """
-        scratch = self.scratch or Scratch(df.sparkSession, "spikes")
         base = self._base(df).filter("_src IS NOT NULL")
         day = F.coalesce(F.datediff(F.to_date("_t"), F.lit("1970-01-01").cast("date")), F.lit(NO_DAY))
         per_day = base.groupBy("_src", day.alias("_day")).agg(F.count("*").alias("n"))
         hot = scratch.write(per_day.groupBy("_src").agg(F.sum("n").alias("t")).filter(F.col("t") > self.split_rows), "hot")
+        self._hot = not hot.isEmpty()
         parts = per_day.join(bounded_broadcast(hot), "_src").select(
             F.col("_src").alias("_hot"), F.col("_day").alias("_hd"), F.ceil(F.col("n") / self.split_rows).alias("_parts"))
         parts = bounded_broadcast(scratch.write(parts, "parts"))
@@ -121,45 +124,50 @@ class SpikeDetector:
         cut = F.when(F.col("_parts").isNotNull(), F.col("_day").cast("bigint") * 86400 + F.floor(second * F.least(F.col("_parts"), F.lit(86400)) / 86400)).otherwise(0)
         rows = base.withColumn("_day", day).join(parts, (F.col("_src") == F.col("_hot")) & (F.col("_day") == F.col("_hd")), "left").withColumn(
             "_cut", cut).drop("_hot", "_hd", "_parts", "_day")
+        self._cuts = rows.select("_src", "_cut")
         w = Window.partitionBy("_src", "_cut").orderBy("_t", "_id")
         k = range(len(self.readings))
-        rows = rows.withColumns({f"_n{i}": F.when(F.lag(f"_r{i}").over(w) == F.col(f"_r{i}"), 0).otherwise(1) for i in k})
-        rows = rows.withColumns({f"_g{i}": F.sum(f"_n{i}").over(w) for i in k})
-        # a run's length: a second window on the same partitioning and a finer sort would sort again; the
-        # distance to the run's borders is enough, and only repeated readings go on
-        rep = rows.withColumns({f"_m{i}": F.lead(f"_n{i}", 1, 1).over(w) for i in k})
-        last = {f"_c{i}": F.max(f"_g{i}").over(Window.partitionBy("_src", "_cut")) for i in k}
-        if not self._any_hot(hot):
-            last = {f"_c{i}": F.lit(-1) for i in k}
-        rep = rep.withColumns(last)
-        each = F.explode(F.array(*[F.when(
-            F.col(f"_r{i}").isNotNull() & ((F.col(f"_n{i}") == 0) | (F.col(f"_m{i}") == 0) | (F.col(f"_c{i}") >= 0) & ((F.col(f"_g{i}") == 1) | (F.col(f"_g{i}") == F.col(f"_c{i}")))),
-            F.struct(F.lit(i).alias("m"), F.col(f"_g{i}").alias("g"), (F.col(f"_g{i}") == 1).alias("f"), (F.col(f"_g{i}") == F.col(f"_c{i}")).alias("l"), F.col(f"_r{i}").alias("v"))) for i in k]))
-        cand = rep.select("_id", "_src", "_cut", each.alias("_x")).filter("_x IS NOT NULL").select("_id", "_src", "_cut", "_x.*")
-        cand = scratch.write(cand, "candidates")
+        new = {f"_n{i}": F.when(F.lag(f"_r{i}").over(w) == F.col(f"_r{i}"), 0).otherwise(1) for i in k}
+        log = lambda c: F.log(F.when(c > 0, c))
+        step = {f"_j{i}": F.least(F.abs(log(F.col(f"_r{i}")) - log(F.lag(f"_r{i}").over(w))), F.abs(log(F.col(f"_r{i}")) - log(F.lead(f"_r{i}").over(w)))) for i in k}
+        rows = rows.withColumns(new | step)
+        rows = rows.withColumns({f"_g{i}": F.sum(f"_n{i}").over(w) for i in k} | {f"_m{i}": F.lead(f"_n{i}", 1, 1).over(w) for i in k})
+        ends = {f"_c{i}": F.max(f"_g{i}").over(Window.partitionBy("_src", "_cut")) if self._hot else F.lit(-1) for i in k}
+        rows = rows.withColumns(ends)
+
+        def entry(i: int) -> Column:
+            first, last = F.col(f"_g{i}") == 1, F.col(f"_g{i}") == F.col(f"_c{i}")
+            run = (F.col(f"_n{i}") == 0) | (F.col(f"_m{i}") == 0) | ((F.col(f"_c{i}") >= 0) & (first | last))
+            jump = F.coalesce(F.col(f"_j{i}") > math.log(JUMP), F.lit(False))
+            return F.when(F.col(f"_r{i}").isNotNull() & (run | jump), F.struct(
+                F.lit(i).alias("m"), F.col(f"_r{i}").alias("v"), F.col(f"_g{i}").alias("g"), first.alias("f"), last.alias("l"), run.alias("run"), jump.alias("jump")))
+
+        each = F.explode(F.array(*[entry(i) for i in k]))
+        out = rows.select("_id", "_src", self._context().alias("_ctx"), "_cut", each.alias("_x")).filter("_x IS NOT NULL").select("_id", "_src", "_ctx", "_cut", "_x.*")
+        return scratch.write(out, "ordered")
+
+    def runs(self, ordered: DataFrame) -> DataFrame:
+        """(_id, m) of rows in a run of STUCK_RUN or more equal readings. The first and last run of every cut, a few
+        rows each, are stitched across neighbouring cuts."""
+        cand = ordered.filter("run")
         runs = cand.groupBy("_src", "m", "_cut", "g").agg(F.count("*").alias("n"), F.first("v").alias("v"), F.first("f").alias("f"), F.first("l").alias("l"))
-        inner = runs.filter(~F.col("f") & ~F.col("l"))
-        border = runs.filter(F.col("f") | F.col("l"))
-        o = Window.partitionBy("_src", "m").orderBy("_cut", "g")
-        same = F.col("f") & F.lag("l").over(o) & (F.lag("v").over(o) == F.col("v")) & (F.lag("_ord").over(o) == F.col("_ord") - 1)
-        days = rows.select("_src", "_cut").distinct().select("_src", "_cut", F.row_number().over(Window.partitionBy("_src").orderBy("_cut")).alias("_ord"))
-        if self._any_hot(hot):
-            border = border.join(days, ["_src", "_cut"])
-        else:
-            border = border.withColumn("_ord", F.lit(1))
-        border = border.withColumn("_s", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_s").over(o))
-        border = border.withColumn("n", F.sum("n").over(Window.partitionBy("_src", "m", "_run")))
         cols = ["_src", "m", "_cut", "g", "n"]
-        stuck = inner.select(*cols).unionByName(border.select(*cols)).filter(F.col("n") >= STUCK_RUN).drop("n")
-        return cand.join(stuck, ["_src", "m", "_cut", "g"], "left_semi").groupBy("_id").agg(F.sort_array(F.collect_set("m")).alias("_stuck"))
-
-    def _any_hot(self, hot: DataFrame) -> bool:
-        if not hasattr(self, "_hot_seen"):
-            self._hot_seen = not hot.isEmpty()
-        return self._hot_seen
+        if not self._hot:
+            stuck = runs.select(*cols)
+        else:
+            number = F.row_number().over(Window.partitionBy("_src").orderBy("_cut"))
+            cuts = self._cuts.distinct().select("_src", "_cut", number.alias("_ord"))
+            border = runs.filter(F.col("f") | F.col("l")).join(cuts, ["_src", "_cut"])
+            o = Window.partitionBy("_src", "m").orderBy("_cut", "g")
+            same = F.col("f") & F.lag("l").over(o) & (F.lag("v").over(o) == F.col("v")) & (F.lag("_ord").over(o) == F.col("_ord") - 1)
+            border = border.withColumn("_s", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_s").over(o))
+            border = border.withColumn("n", F.sum("n").over(Window.partitionBy("_src", "m", "_run")))
+            stuck = runs.filter(~F.col("f") & ~F.col("l")).select(*cols).unionByName(border.select(*cols))
+        return cand.join(stuck.filter(F.col("n") >= STUCK_RUN).drop("n"), ["_src", "m", "_cut", "g"], "left_semi").select("_id", "m").distinct()
 
     def flags(self, df: DataFrame) -> DataFrame:
-        """(row id, source, reading, value, reason) of every flagged reading; a reading may have several reasons."""
+        """(row id, reading, reason) of every flagged reading; a reading may have several reasons: impossible, above fence,
+        below fence, stuck, jump."""
         scratch = self.scratch = self.scratch or Scratch(df.sparkSession, "spikes")
         fences = scratch.write(self.fences(self.sketch(df)), "fences")
         base = self._base(df).withColumn("_ctx", self._context())
@@ -175,18 +183,11 @@ class SpikeDetector:
 
         each = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(f"_r{i}").alias("v"), reason(i, r).alias("why")) for i, r in enumerate(self.readings)]))
         spikes = joined.select("_id", "_src", each.alias("_x")).filter("_x.why IS NOT NULL").select("_id", "_src", "_x.m", "_x.v", "_x.why")
-        stuck = self.runs(df).select("_id", F.explode("_stuck").alias("m"), F.lit("stuck").alias("why"))
+        ordered = self._ordered(df, scratch)
+        stuck = self.runs(ordered).select("_id", "m", F.lit("stuck").alias("why"))
+        jumps = ordered.filter("jump").join(f, (F.col("_src") == F.col("_fs")) & (F.col("_ctx") == F.col("_fc")))
+        inner = F.col("_fences")[F.col("m")]
+        jumps = jumps.filter((F.col("v") > inner.ihi) | (F.col("v") < inner.ilo)).select("_id", "m", F.lit("jump").alias("why"))
         names = F.array(*[F.lit(r.name) for r in self.readings])
-        out = spikes.select("_id", "m", "why").unionByName(stuck)
+        out = spikes.select("_id", "m", "why").unionByName(stuck).unionByName(jumps)
         return out.select(F.col("_id").alias(self.row_id), names[F.col("m")].alias("reading"), F.col("why").alias("reason")).distinct()
-
-    def rate_of_change(self, df: DataFrame, at_most: float = 25.0) -> DataFrame:
-        """(row id, reading, ratio): readings at_most times above or below both neighbours of the same source in time."""
-        base = self._base(df).filter("_src IS NOT NULL")
-        w = Window.partitionBy("_src", F.to_date("_t")).orderBy("_t", "_id")
-        logs = base.select("_id", "_src", "_t", *[F.log(f"_r{i}").alias(f"_r{i}") for i in range(len(self.readings))])
-        jumps = logs.withColumns({f"_j{i}": F.least(F.abs(F.col(f"_r{i}") - F.lag(f"_r{i}").over(w)), F.abs(F.col(f"_r{i}") - F.lead(f"_r{i}").over(w)))
-                                  for i in range(len(self.readings))})
-        each = F.explode(F.array(*[F.struct(F.lit(r.name).alias("reading"), F.col(f"_j{i}").alias("jump")) for i, r in enumerate(self.readings)]))
-        return jumps.select("_id", each.alias("_x")).filter(F.col("_x.jump") > math.log(at_most)).select(
-            F.col("_id").alias(self.row_id), F.col("_x.reading").alias("reading"), F.round(F.exp("_x.jump"), 6).alias("ratio"))

@@ -94,10 +94,6 @@ def p5_flags(spark: SparkSession, d: str) -> DataFrame:
     return detector().flags(table(spark, d, "yellow_trips"))
 
 
-def p5_rate_of_change(spark: SparkSession, d: str) -> DataFrame:
-    return detector().rate_of_change(table(spark, d, "yellow_trips"))
-
-
 def landed(spark: SparkSession, d: str) -> LandedTable:
     return LandedTable(table(spark, d, "yellow_trips_raw"), "_source_file", "_ingested_at", "_rescued_data")
 
@@ -112,7 +108,7 @@ def p6_unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_enriched, p2_found, p2_counts, p3_found, p3_history, p3_changes,
-                                   p5_found, p5_flags, p5_rate_of_change, p6_found, p6_unified)}
+                                   p5_found, p5_flags, p6_found, p6_unified)}
 
 _SEGMENT = """z AS (SELECT DISTINCT zone_key, zone_id, effective_from f, effective_to t FROM dim_zone WHERE zone_id IS NOT NULL AND effective_from IS NOT NULL)"""
 _VALID = """v AS (SELECT trip_id, pickup_ts, zone_id, arg_max(zone_key, (f, zone_key)) zone_key

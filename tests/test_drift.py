@@ -22,7 +22,7 @@ def test_assignment_is_least():
         assert abs(sum(c[i][j] for i, j in enumerate(got)) - min(sum(c[i][p[i]] for i in range(n)) for p in itertools.permutations(range(n)))) < 1e-9
 
 
-def test_scripts():
+def test_scripts(spark):
     assert script("a int, b string", "a int, b string") == []
     assert script("a int", "a int, c double") == [("add", (), ("c",))]
     assert script("a int, c double", "a int") == [("delete", ("c",), ())]
@@ -49,6 +49,29 @@ def test_projection_round_trip(spark):
     assert out.first().asDict(True) == {"a": 1, "s": {"x": 2, "y": 7, "n": None}, "fresh": None}
 
 
+def test_nested_files_read_as_one_table(spark, tmp_path):
+    from millrace.operators.drift import read_unified
+
+    files = [
+        ("a", [(1, (2, 3.5), "x")], "id int, pos struct<lat:int,lon:double>, note string"),
+        ("b", [(2**40, (4, 5.5), "y", 7)], "id bigint, pos struct<lat:int,Lon:double>, note string, more int"),
+        ("c", [(3, (6,), 7.5, 9)], "id int, pos struct<lat:int>, lon double, note int"),
+    ]
+    paths = []
+    for name, data, ddl in files:
+        spark.createDataFrame(data, ddl).coalesce(1).write.parquet(str(tmp_path / name))
+        paths.append(str(next((tmp_path / name).glob("*.parquet"))))
+    df, scripts = read_unified(spark, paths)
+    got = [r.asDict(True) for r in df.drop("_source_file").orderBy("id").collect()]
+    assert got == [
+        {"id": 1, "pos": {"lat": 2, "lon": 3.5}, "note": "x", "more": None},
+        {"id": 3, "pos": {"lat": 6, "lon": 7.5}, "note": "9", "more": None},
+        {"id": 2**40, "pos": {"lat": 4, "lon": 5.5}, "note": "y", "more": 7},
+    ]
+    assert [[e.op for e in s] for _, s in scripts] == [["retype", "add", "rename"], ["retype", "delete", "retype", "move"]] or \
+        [sorted(e.op for e in s) for _, s in scripts] == [["add", "rename", "retype"], ["delete", "move", "retype", "retype"]]
+
+
 def landed(frame):
     ddl = "id int, fee double, zone int, at timestamp_ntz, _in timestamp_ntz, _f string, _r string"
     data = []

@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 
 from millrace.operators.spikes import Reading, SpikeDetector
+from millrace.session import Scratch
 
 DDL = "id bigint, meter string, at timestamp_ntz, a double, b double, reading string"
 READINGS = [Reading("a", 0.0, 1000.0, 7.0, 1 / 9), Reading("b", 0.0, 100.0, 4.0, 1 / 4)]
@@ -50,12 +51,12 @@ def test_spikes_impossible_and_nulls(frame):
     d.append([900, None, "2023-01-01 00:00:00", 5000.0, 15.0, "o"])
     d.append([901, None, "2023-01-01 00:00:00", 900.0, 15.0, "o"])
     d.append([902, "solo", "2023-01-01 00:00:00", 999.0, 15.0, "o"])
-    got = rows(detector().flags(frame(d, DDL)), "id", "reading", "reason")
+    got = rows(detector().flags(frame(d, DDL)).filter("reason <> 'jump'"), "id", "reading", "reason")
     assert got == sorted([(10, "a", "impossible"), (20, "a", "impossible"), (30, "b", "impossible"), (50, "b", "above fence"), (low[0], "a", "below fence"), (900, "a", "impossible")], key=repr)
 
 
 @pytest.mark.parametrize("split", [3, 10**9])
-def test_runs_with_and_without_cuts(frame, split):
+def test_runs_with_and_without_cuts(spark, frame, split):
     d = data(300, 2)
     for start, n, v in ((5, 60, 12.5), (120, 9, 11.0), (150, 150, 9.75)):
         for r in d[start:start + n]:
@@ -66,7 +67,7 @@ def test_runs_with_and_without_cuts(frame, split):
         r[4] = 15.0
     d[0][2] = None
     det = detector(split_rows=split)
-    got = rows(det.runs(frame(d, DDL)).selectExpr("_id", "explode(_stuck) m"))
+    got = rows(det.runs(det._ordered(frame(d, DDL), Scratch(spark, "t"))))
     want = sorted([(i, m) for m, c in ((0, 3), (1, 4)) for i in runs_by_hand(d, c)], key=repr)
     assert want and got == want
 
@@ -86,6 +87,17 @@ def test_empty_and_repeated_rows(frame):
     assert rows(detector().flags(frame(d + [d[3]], DDL)), "id") == [(3,)]
 
 
-def test_rate_of_change(frame):
-    d = [[i, "m", f"2023-01-01 0{i}:00:00", 10.0 if i != 4 else 900.0, 5.0, "o"] for i in range(9)]
-    assert rows(detector().rate_of_change(frame(d, DDL)), "id", "reading") == [(4, "a")]
+def test_jumps(frame):
+    d = [[i, "m", f"2023-01-{1 + i // 24:02d} {i % 24:02d}:00:00", 10.0 + i % 5, 15.0, "o"] for i in range(60)]
+    d[30][3] = 900.0
+    d[40][3] = 0.0
+    got = [(i, why) for i, r, why in rows(detector().flags(frame(d, DDL)), "id", "reading", "reason") if r == "a"]
+    assert got == [(30, "above fence"), (30, "jump"), (40, "below fence")]
+
+
+def test_hot_source_gives_the_same_flags(frame):
+    d = data(300, 7)
+    for r in d[50:90]:
+        r[3] = 12.0
+    d[120][3] = 9000.0
+    assert rows(detector(split_rows=4).flags(frame(d, DDL)).filter("reason <> 'jump'")) == rows(detector().flags(frame(d, DDL)).filter("reason <> 'jump'"))
