@@ -397,8 +397,8 @@ class LandedTable:
         def typed(c: str) -> Column:
             t, v = types[c], read(c)
             if t.startswith("timestamp"):
-                num = v.try_cast("bigint")
-                v = F.coalesce(F.expr(f"try_to_timestamp(`_r_{c}`, 'dd.MM.yyyy HH:mm:ss')").cast(t), F.timestamp_millis(num).cast(t), v.try_cast(t))
+                since = f"TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, try_cast(`_r_{c}` AS BIGINT) / 1000)"
+                v = F.coalesce(F.expr(f"try_to_timestamp(`_r_{c}`, 'dd.MM.yyyy HH:mm:ss')").cast(t), F.expr(since).cast(t), v.try_cast(t))
             elif t in ("int", "bigint"):
                 v = v.try_cast("double").try_cast(t)
             else:
