@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,5 +94,21 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if got.n <= rows and size <= BROADCAST_MB << 20 else df
 
 
+#: Rows of an Arrow batch where rows hold whole texts, so that a batch of long texts fits a Python worker.
+TEXT_BATCH = 512
+
+
+@contextlib.contextmanager
+def text_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> Iterator[None]:
+    """Smaller Arrow batches for what is executed inside the block; the session's setting is put back after it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
