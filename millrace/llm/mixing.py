@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.tokens import sized
-from millrace.session import Scratch
+from millrace.session import Scratch, text_batches
 
 #: Size cells per factor of e in which a source's sizes are counted to fix its sampling rate.
 SIZE_CELLS = 32
@@ -66,7 +66,8 @@ class Mixer:
         self.wanted = self.spark.createDataFrame([(s, *t) for s, t in self.targets.items()], schema)
         # documents of other sources never reach the tokenizer
         drawn = documents.withColumn("_s", normal()).join(F.broadcast(self.wanted.select(F.col("source").alias("_s"))), "_s", "left_semi")
-        self.sizes = self.scratch.write(sized(drawn, "_s", path=path).withColumnRenamed("_s", "source"), "sizes")
+        with text_batches(self.spark):
+            self.sizes = self.scratch.write(sized(drawn, "_s", path=path).withColumnRenamed("_s", "source"), "sizes")
 
     def plan(self) -> DataFrame:
         """(source, rate, need): sampling rate and tokens wanted; from counts per size cell, which are bounded."""

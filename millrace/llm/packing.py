@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.tokens import sized
-from millrace.session import Scratch
+from millrace.session import Scratch, bounded_broadcast, text_batches
 
 #: Items a shard holds on average; a shard is packed in one task.
 SHARD_ITEMS = 20_000
+#: Items are packed once per capacity; more capacities are refused.
+MOST_CAPACITIES = 1000
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -67,9 +69,12 @@ def pack(documents: DataFrame, capacities: DataFrame, scratch: Scratch | None =
     """
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark, "packing")
-    items = scratch.write(sized(documents), "sizes")
+    with text_batches(spark):
+        items = scratch.write(sized(documents), "sizes")
     shards = max(1, -(-items.count() // SHARD_ITEMS))
-    caps = [(r.capacity_id, r.capacity_tokens) for r in capacities.filter("capacity_tokens >= 1").limit(1000).collect()]
+    caps = [(r.capacity_id, r.capacity_tokens) for r in capacities.filter("capacity_tokens >= 1").limit(MOST_CAPACITIES + 1).collect()]
+    if len(caps) > MOST_CAPACITIES:
+        raise ValueError(f"more than {MOST_CAPACITIES} capacities")
     schema = "capacity_id int, container_id bigint, doc_id bigint, piece int, tokens bigint"
     if not caps:
         return spark.createDataFrame([], schema)
@@ -92,5 +97,5 @@ def fill(packed: DataFrame, capacities: DataFrame) -> DataFrame:
     """(capacity_id, containers, tokens, unused_share) of each capacity."""
     used = packed.filter("container_id >= 0").groupBy("capacity_id", "container_id").agg(F.sum("tokens").alias("t"))
     per = used.groupBy("capacity_id").agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"))
-    return per.join(F.broadcast(capacities.limit(1000)), "capacity_id").select(
+    return per.join(bounded_broadcast(capacities), "capacity_id").select(
         "capacity_id", "containers", "tokens", (1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("unused_share"))

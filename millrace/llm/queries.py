@@ -13,6 +13,11 @@ from millrace.llm.textquality import scored
 from millrace.session import table
 
 
+def p4_day_states(spark: SparkSession, d: str) -> DataFrame:
+    """The mergeable states of single days: counts per zone, column and cell of 0.01."""
+    return Percentiles(["pickup_zone_id"], MEASURES, PROBABILITIES).state(table(spark, d, "fact_trips"), "date_key")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     reps, records = linkage.Linker(spark).link_all(table(spark, d, "yellow_trips"))
     return linkage.pairs_of(reps, records).select(F.col("a").alias("trip_id_a"), F.col("b").alias("trip_id_b"))
@@ -66,7 +71,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return scored(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_percentiles, p4_monthly_medians, p7_found, p7_representatives, p8_packed, p8_fill, p9_sample, p9_shares, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p4_percentiles, p4_monthly_medians, p4_day_states, p7_found, p7_representatives, p8_packed, p8_fill, p9_sample, p9_shares, p10_found, p10_statistics)}
 
 _RANKED = """v AS (SELECT {g}, unnest(['fare_amount', 'trip_minutes', 'tip_pct']) AS "column", unnest([fare_amount, trip_minutes, tip_pct]) AS v FROM fact_trips),
  r AS (SELECT {k}, "column", v, row_number() OVER w AS rn, count(*) OVER (PARTITION BY {k}, "column") AS n FROM v WHERE v IS NOT NULL AND NOT isnan(v) WINDOW w AS (PARTITION BY {k}, "column" ORDER BY v)),
@@ -74,5 +79,7 @@ _RANKED = """v AS (SELECT {g}, unnest(['fare_amount', 'trip_minutes', 'tip_pct']
 SELECT {k}, "column", probability, CAST(round(v * 100) AS BIGINT) / 100.0::DOUBLE AS value, n FROM r JOIN p ON rn = greatest(1, CAST(ceil(probability * n) AS BIGINT))"""
 ORACLE: dict[str, str] = {
     "p4_percentiles": "WITH " + _RANKED.format(g="pickup_zone_id", k="pickup_zone_id", p=", ".join(map(str, PROBABILITIES))),
+    "p4_day_states": """WITH v AS (SELECT pickup_zone_id, date_key, unnest(['fare_amount', 'trip_minutes', 'tip_pct']) AS "column", unnest([fare_amount, trip_minutes, tip_pct]) AS v FROM fact_trips)
+SELECT pickup_zone_id, date_key, "column", CAST(round(v * 100) AS BIGINT) AS cell, count(*) AS n FROM v WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY ALL""",
     "p4_monthly_medians": "WITH " + _RANKED.format(g="CAST(date_key // 100 AS INTEGER) AS month", k="month", p="0.5"),
 }

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.llm.gbt import Boosted, platt
 from millrace.llm.holdout import JUNK, PROSE
 from millrace.llm.textstats import STATS, statistics, text_stats
-from millrace.session import Scratch
+from millrace.session import Scratch, text_batches
 
 #: Documents in the training sample, about; at most twice as many are ever collected.
 TRAIN_DOCS = 4000
@@ -24,7 +24,7 @@ LEAST_OF_CLASS = 20
 _SHARE = STATS.index("prose_share")
 
 
-class Prosecutor:
+class ProseModel:
     """The fitted model: probability that a text is not prose."""
 
     def __init__(self, rows: np.ndarray):
@@ -44,12 +44,12 @@ class Prosecutor:
         return np.where(x[:, 0] == 0, 1.0, p)
 
 
-def train(stats: DataFrame) -> Prosecutor:
+def train(stats: DataFrame) -> ProseModel:
     """Fits on a bounded sample by digest of doc_id (TRAIN_DOCS); the bound does not depend on the table."""
     n = stats.count()
     part = stats.filter(F.col("chars") > 0).filter(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(max(1, n // TRAIN_DOCS))) == 0)
     rows = part.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * TRAIN_DOCS).select(*STATS).toPandas()
-    return Prosecutor(rows.to_numpy(dtype="float64").reshape(-1, len(STATS)))
+    return ProseModel(rows.to_numpy(dtype="float64").reshape(-1, len(STATS)))
 
 
 def scored(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -59,7 +59,8 @@ def scored(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     the statistics are written, and model and scores work on them.
     """
     scratch = scratch or Scratch(documents.sparkSession, "textquality")
-    stats = scratch.write(statistics(documents), "stats")
+    with text_batches(documents.sparkSession):
+        stats = scratch.write(statistics(documents), "stats")
     model = train(stats)
     schema = ", ".join(["doc_id bigint", *(f"{s} double" for s in STATS), "not_prose double"])
 
