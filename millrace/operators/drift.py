@@ -296,34 +296,62 @@ class LandedTable:
         own = {self.file, self.arrived, self.rescued}
         self.columns = {c: CLASSES.get(t, t) for c, t in self.df.dtypes if c not in own}
 
-    def field_profile(self) -> DataFrame:
-        """(file, name, in_column, kind, cell, n, first): one pass, map-side combined; a row has as many entries as fields."""
-        own = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(True).alias("in_column"), F.lit(k).alias("kind"), F.col(f"`{c}`").cast("string").alias("v")) for c, k in self.columns.items()])
-        extra = F.transform(F.map_entries(F.from_json(self.rescued, "map<string,variant>")), lambda e: F.struct(
-            e["key"].alias("name"), F.lit(False).alias("in_column"), F.schema_of_variant(e["value"]).alias("kind"), e["value"].cast("string").alias("v")))
-        each = F.explode(F.concat(F.filter(own, lambda x: x["v"].isNotNull()), F.coalesce(F.filter(extra, lambda x: x["v"].isNotNull()), F.expr("array()").cast("array<struct<name:string,in_column:boolean,kind:string,v:string>>"))))
-        rows = self.df.filter(F.col(self.file).isNotNull()).select(F.col(self.file).alias("file"), each.alias("x")).select("file", "x.*").filter(~F.col("name").isin(*self.ignore))
-        kind = F.when(F.col("in_column"), F.col("kind")).otherwise(_class_of_json(F.col("kind")))
-        return rows.withColumn("kind", kind).groupBy("file", "name", "in_column", "kind", _value_cell(F.col("v")).alias("cell")).agg(F.count("*").alias("n"))
+    def _extra(self, df: DataFrame) -> DataFrame:
+        """(file, name, value) of every rescued value that is not null."""
+        each = F.explode(F.from_json(self.rescued, "map<string,variant>")).alias("name", "value")
+        rows = df.filter(F.col(self.file).isNotNull() & F.col(self.rescued).isNotNull()).select(F.col(self.file).alias("file"), each)
+        return rows.filter(~F.col("name").isin(*self.ignore)).filter(F.col("value").cast("string").isNotNull())
+
+    def profile(self, columns: list[str], extra: list[str]) -> DataFrame:
+        """(file, name, cell, n): how the values of some columns and rescued names are spread; map-side combined, and of at
+        most a few hundred cells a field."""
+        parts = []
+        if columns:
+            each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns]))
+            parts.append(self.df.filter(F.col(self.file).isNotNull()).select(F.col(self.file).alias("file"), each.alias("x")).select("file", "x.*").filter("v IS NOT NULL"))
+        if extra:
+            parts.append(self._extra(self.df).filter(F.col("name").isin(*extra)).select("file", "name", F.col("value").cast("string").alias("v")))
+        rows = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+        return rows.groupBy("file", "name", _value_cell(F.col("v")).alias("cell")).agg(F.count("*").alias("n"))
 
     def schemas(self) -> list[tuple[str, Node]]:
-        """(file, schema tree) in order of arrival. Profiles are of at most a few hundred cells a field."""
-        order = self.df.filter(F.col(self.file).isNotNull()).groupBy(F.col(self.file).alias("file")).agg(F.min(self.arrived).alias("a")).orderBy("a", "file").collect()
-        found: dict[str, dict[str, dict]] = {r.file: {} for r in order}
-        cells = self.field_profile().groupBy("file", "name", "kind").agg(
-            F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("cells"))
-        for r in cells.collect():
-            f = found[r.file].setdefault(r.name, {"kinds": {}, "cells": {}})
-            f["kinds"][r.kind] = f["kinds"].get(r.kind, 0) + r.n
-            for k, n in r.cells.items():
-                f["cells"][k] = f["cells"].get(k, 0) + n
+        """(file, schema tree) in order of arrival.
+
+        The first pass counts values per file and column, and names and kinds of rescued values. Only if
+        a file has names that no column spells, and columns without values, are profiles taken, of these
+        names and columns alone.
+        """
+        counts = [F.count(f"`{c}`").alias(f"c{i}") for i, c in enumerate(self.columns)]
+        order = self.df.filter(F.col(self.file).isNotNull()).groupBy(F.col(self.file).alias("file")).agg(F.min(self.arrived).alias("a"), *counts).orderBy("a", "file").collect()
+        kinds: dict[str, dict[str, dict[str, int]]] = {r.file: {} for r in order}
+        for r in order:
+            for i, (c, k) in enumerate(self.columns.items()):
+                if r[f"c{i}"]:
+                    kinds[r.file][c] = {k: r[f"c{i}"]}
+        found = self._extra(self.df).groupBy("file", "name", F.schema_of_variant("value").alias("raw")).agg(F.count("*").alias("n"))
+        for r in found.groupBy("file", "name", _class_of_json(F.col("raw")).alias("kind")).agg(F.sum("n").alias("n")).collect():
+            own = kinds[r.file].setdefault(r.name, {})
+            own[r.kind] = own.get(r.kind, 0) + r.n
+        known = {plain(c) for c in self.columns}
+        unknown, empty = set(), set()
+        for own in kinds.values():
+            strange = {n for n in own if plain(n) not in known}
+            if strange:
+                unknown |= strange
+                there = {plain(n) for n in own}
+                empty |= {c for c in self.columns if plain(c) not in there}
+        profiles: dict[tuple[str, str], dict[str, float]] = {}
+        if unknown and empty:
+            spelled = sorted(unknown | {n for own in kinds.values() for n in own if n not in self.columns and plain(n) in {plain(c) for c in empty}})
+            cells = self.profile(sorted(empty), spelled).groupBy("file", "name").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("cells"))
+            for r in cells.collect():
+                total = sum(r.cells.values())
+                profiles[r.file, r.name] = {k: n / total for k, n in r.cells.items()}
         out = []
         for r in order:
             root = Node(r.file)
-            for name, f in sorted(found[r.file].items()):
-                total = sum(f["cells"].values())
-                kind = max(sorted(f["kinds"]), key=lambda k: f["kinds"][k])
-                root.children.append(Node(name, kind, [], {k: n / total for k, n in f["cells"].items()}))
+            for name, own in sorted(kinds[r.file].items()):
+                root.children.append(Node(name, max(sorted(own), key=lambda k: own[k]), [], profiles.get((r.file, name), {})))
             out.append((r.file, root))
         return out
 
@@ -333,7 +361,7 @@ class LandedTable:
         pooled = {}
         for c in self.columns:
             cells: dict[str, float] = {}
-            parts = [n.profile for _, t in schemas for n in t.children if plain(n.name) == plain(c)]
+            parts = [n.profile for _, t in schemas for n in t.children if plain(n.name) == plain(c) and n.profile]
             for p in parts:
                 for k, x in p.items():
                     cells[k] = cells.get(k, 0.0) + x / len(parts)

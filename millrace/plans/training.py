@@ -144,5 +144,10 @@ LEFT JOIN v ON r.trip_id = v.trip_id AND r.pickup_ts = v.pickup_ts AND r.pickup_
     "p2_found": f"WITH {_ORPHANS} SELECT DISTINCT trip_id, ref_field, orphan_kind FROM orphans",
     "p2_counts": f"WITH {_ORPHANS} SELECT ref_field, month, orphan_kind, count(*) orphans FROM orphans GROUP BY ALL",
     "p3_found": f"WITH {_HISTORY} SELECT zone_id, CAST(strftime(valid_from, '%Y%m%d') AS INTEGER) valid_from_day, coalesce(CAST(strftime(valid_to, '%Y%m%d') AS INTEGER), 99991231) valid_to_day FROM hist",
+    "p3_changes": f"""WITH {_HISTORY}, c AS (SELECT cur.zone_id k, cur.no, prev.zone_id had, cur.borough IS NOT DISTINCT FROM prev.borough AND cur.zone_name IS NOT DISTINCT FROM prev.zone_name
+  AND cur.service_zone IS NOT DISTINCT FROM prev.service_zone same FROM o cur LEFT JOIN o prev ON cur.zone_id = prev.zone_id AND cur.no = prev.no + 1),
+ e AS (SELECT k, no, CASE WHEN had IS NULL THEN 'inserted' ELSE 'changed' END change FROM c WHERE had IS NULL OR NOT same
+  UNION ALL SELECT prev.zone_id, prev.no + 1, 'deleted' FROM o prev LEFT JOIN o cur ON cur.zone_id = prev.zone_id AND cur.no = prev.no + 1 WHERE cur.zone_id IS NULL)
+SELECT k AS zone_id, snapshot_date, change FROM e JOIN days USING (no)""",
     "p3_history": f"WITH {_HISTORY} SELECT zone_id, borough, zone_name, service_zone, valid_from, valid_to FROM hist",
 }
