@@ -13,6 +13,7 @@ batches, which gives the same pairs as probing file by file (tested).
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -30,6 +31,8 @@ FETCH_ROWS = 1_000_000
 THRESHOLD = 0.5
 #: Two deliveries of one ride start at most this far apart (seconds).
 FARTHEST = 7200
+#: Stored tables are partitioned by spans of so many seconds of the start, so a batch reads the spans it can touch.
+PERIOD = 30 * 86400
 
 
 def canonical_meter(c: str | Column) -> Column:
@@ -83,18 +86,29 @@ def unmetered_keys() -> Column:
         *[_key(f"fares{i}", F.col("dist"), F.col("fare"), F.col("pz"), b) for i, b in enumerate(w)]))
 
 
+def period(seconds: Column) -> Column:
+    """The partition of a start; records without one have a partition of their own."""
+    return F.coalesce(F.floor(seconds / PERIOD), F.lit(-1)).cast("int")
+
+
+def periods_touched(records: DataFrame) -> list[int]:
+    """Partitions that may hold partners of the records: those of their starts, give or take FARTHEST."""
+    near = F.explode(F.array(*[period(F.col("p") + d) for d in (-FARTHEST, 0, FARTHEST)]))
+    return sorted(r[0] for r in records.select(near.alias("period")).distinct().collect())  # one per span of 30 days
+
+
 def key_table(records: DataFrame) -> DataFrame:
-    """(id, seq, meterless, mkeys, ukeys, copies): one row per group of exact copies of a batch's records.
+    """(id, seq, d1, d2, copies, meterless, mkeys, ukeys, period): one row per group of exact copies of a batch's records.
 
     Copies are equal in every compared field and the batch; the smallest id stands for them. The
     128-bit digest, not the fields, is shuffled; partial aggregation takes the copies first.
     """
     digest = [F.xxhash64(*FIELDS), F.xxhash64(F.lit("second"), *FIELDS)]
-    rows = records.select("id", "seq", digest[0].alias("d1"), digest[1].alias("d2"), F.col("meter").isNull().alias("meterless"),
+    rows = records.select("id", "seq", digest[0].alias("d1"), digest[1].alias("d2"), F.col("meter").isNull().alias("meterless"), period(F.col("p")).alias("period"),
                           metered_keys().alias("mkeys"), F.when(F.col("meter").isNull(), unmetered_keys()).alias("ukeys"))
-    best = F.min_by(F.struct("mkeys", "ukeys", "meterless"), "id")
+    best = F.min_by(F.struct("mkeys", "ukeys", "meterless", "period"), "id")
     return rows.groupBy("seq", "d1", "d2").agg(F.min("id").alias("id"), best.alias("k"), F.count("*").alias("copies")).select(
-        "id", "seq", "d1", "d2", "copies", "k.meterless", "k.mkeys", "k.ukeys")
+        "id", "seq", "d1", "d2", "copies", "k.meterless", "k.mkeys", "k.ukeys", "k.period")
 
 
 def candidates(new: DataFrame, old: DataFrame, records: DataFrame) -> DataFrame:
@@ -294,29 +308,47 @@ class Linker:
     def accept(self, batch: DataFrame, store: str, weights: Weights) -> DataFrame:
         """Checks one batch against the tables under `store`, adds it to them, and returns the new links (a, b).
 
-        History is probed through its key table; of the history's records only candidates are read.
-        Files of one batch carry the batch's number, so a batch that is accepted again overwrites itself.
+        Of history only the partitions of time are read that the batch can touch: their keys are probed, and
+        fields are fetched of candidates alone. Clusters that no new link touches are neither read nor written.
         """
         spark = self.spark
-        have = lambda t: _exists(spark, f"{store}/{t}")
-        old_no = spark.read.parquet(f"{store}/records").agg(F.max("seq")).first()[0] if have("records") else 0
-        records = self.reader(batch).withColumn("seq", F.col("seq") + F.lit(old_no))
-        records = self.scratch.write(records, f"batch{old_no}")
-        new = self.scratch.write(key_table(records), f"keys{old_no}")
-        history = spark.read.parquet(f"{store}/records").select(*records.columns) if have("records") else records.limit(0)
-        old = spark.read.parquet(f"{store}/keys").select(*new.columns) if have("keys") else new.limit(0)
-        pairs = self.scratch.write(candidates(new, old.unionByName(new), history.unionByName(records)), f"pairs{old_no}")
-        found = links(with_fields(pairs, history.unionByName(records), self.scratch), weights).select("a", "b")
-        found = self.scratch.write(found, f"links{old_no}")
-        known = spark.read.parquet(f"{store}/representatives") if have("representatives") else None
-        latest = known.groupBy("id").agg(F.max_by("rep", "at").alias("rep")) if known is not None else None
-        changed = union_find(found, Scratch(spark, "linkage"), latest).withColumn("at", F.lit(old_no + 1))
+        records = self.reader(batch)
+        tag = uuid.uuid4().hex
+        have = _exists(spark, f"{store}/records")
+        last = spark.read.parquet(f"{store}/batches").agg(F.max("seq")).first()[0] if have else 0
+        records = self.scratch.write(records.withColumn("seq", F.col("seq") + F.lit(last)).withColumn("period", period(F.col("p"))), f"batch-{tag}")
+        new = self.scratch.write(key_table(records), f"keys-{tag}")
+        near = F.col("period").isin(periods_touched(records))
+        history = spark.read.parquet(f"{store}/records").filter(near).select(*records.columns) if have else records.limit(0)
+        old = spark.read.parquet(f"{store}/keys").filter(near).select(*new.columns) if have else new.limit(0)
+        every = history.unionByName(records)
+        pairs = self.scratch.write(candidates(new, old.unionByName(new), every), f"pairs-{tag}")
+        copies = self._copies(old.unionByName(new), every)
+        found = links(with_fields(pairs, every, self.scratch), weights).select("a", "b").unionByName(copies).distinct()
+        found = self.scratch.write(found, f"links-{tag}")
+        log = spark.read.parquet(f"{store}/representatives") if _exists(spark, f"{store}/representatives") else None
+        known = affected(log, found) if log is not None else None
+        number = records.agg(F.max("seq")).first()[0] or last
+        changed = union_find(found, Scratch(spark, "linkage"), known).withColumn("at", F.lit(number))
         changed.write.mode("append").parquet(f"{store}/representatives")
-        new.write.mode("append").parquet(f"{store}/keys")
-        records.write.mode("append").parquet(f"{store}/records")
+        new.write.mode("append").partitionBy("period").parquet(f"{store}/keys")
+        records.write.mode("append").partitionBy("period").parquet(f"{store}/records")
+        spark.createDataFrame([(number,)], "seq int").write.mode("append").parquet(f"{store}/batches")
         return found
 
 
+def affected(log: DataFrame, links_: DataFrame) -> DataFrame:
+    """(id, rep) of the clusters that links touch, from a log (id, rep, at) whose last entry of an id holds."""
+    touched = links_.select(F.col("a").alias("id")).unionByName(links_.select(F.col("b").alias("id"))).distinct()
+
+    def latest(ids: DataFrame) -> DataFrame:
+        return log.join(bounded_broadcast(ids, FETCH_ROWS), "id", "left_semi").groupBy("id").agg(F.max_by("rep", "at").alias("rep"))
+
+    reps = latest(touched).select("rep").distinct()
+    members = log.join(bounded_broadcast(reps, FETCH_ROWS), "rep", "left_semi").select("id").distinct()
+    return latest(members).join(bounded_broadcast(reps, FETCH_ROWS), "rep", "left_semi").select("id", "rep")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
