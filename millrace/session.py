@@ -6,7 +6,9 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +96,20 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if got.n <= rows and size <= BROADCAST_MB << 20 else df
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per context, so that functions that run there can be loaded
+    wherever the driver was started. Does nothing where the package already came as a file."""
+    sc, home = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(sc, "_millrace_shipped", False) or not home.is_dir():
+        return
+    target = Path(tempfile.mkdtemp(prefix="millrace-package-")) / "millrace_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f"{home.name}/{f.relative_to(home)}")
+    sc.addPyFile(str(target))
+    sc._millrace_shipped = True
+
+
 #: Rows of an Arrow batch where rows hold whole texts, so that a batch of long texts fits a Python worker.
 TEXT_BATCH = 512
 
