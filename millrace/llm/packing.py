@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.tokens import sized
-from millrace.session import Scratch, bounded_broadcast, text_batches
+from millrace.session import Scratch, bounded_broadcast, ship, text_batches
 
 #: Items a shard holds on average; a shard is packed in one task.
 SHARD_ITEMS = 20_000
@@ -68,6 +68,7 @@ def pack(documents: DataFrame, capacities: DataFrame, scratch: Scratch | None =
     null or below 1 are left out; an empty table gives no rows.
     """
     spark = documents.sparkSession
+    ship(spark)
     scratch = scratch or Scratch(spark, "packing")
     with text_batches(spark):
         items = scratch.write(sized(documents), "sizes")

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from millrace.session import ship
+
 #: Common words (fixed values): function words of English, German, French, Spanish and Italian.
 COMMON = frozenset("""
 the of and to in is that we a for by with as it are be this on which from not our has an at or have was were can its if when but then so all one no than been there these their they into only any each some may must whether
@@ -122,6 +124,8 @@ SCHEMA = ", ".join(f"{s} double" for s in STATS)
 def statistics(documents: DataFrame) -> DataFrame:
     """(doc_id, STATS...) of every document. One Arrow pass over the texts, no shuffle; repeated rows stay repeated."""
 
+    ship(documents.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             got = [text_stats(t) for t in rows["text"]]

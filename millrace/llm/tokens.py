@@ -7,9 +7,11 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import ship
+
 #: Byte-level BPE; ranks file of the installed public tokenizers. MILLRACE_TOKENIZER names another one.
 DEFAULT = "byte_bpe_50k.tiktoken"
 
@@ -40,6 +42,7 @@ def encoder(path: str):
 def token_count(text: str | Column, path: str | None = None) -> Column:
     """Tokens of the whole text; 0 for null and empty texts. Strings of special tokens are ordinary text."""
     path = path or tokenizer_path()
+    ship(SparkSession.active())
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
