@@ -13,7 +13,7 @@ DOCS = "doc_id bigint, text string, source string, tokens string, shard string"
 def docs(n=120, seed=1):
     rng = random.Random(seed)
     out = [(i, " ".join(rng.choice(["flow", "map", "kernel", "x_1", "42"]) for _ in range(rng.randrange(0, 90))), rng.choice(["a", "A ", " a", "b", "b", None, "c"]), "own", "own") for i in range(n)]
-    return out + [(900, None, "a", "o", "o"), (901, "", "b", "o", "o"), (902, "word " * 3000, "b", "o", "o")]
+    return out + [(None, "no id here", "a", "o", "o"), (900, None, "a", "o", "o"), (901, "", "b", "o", "o"), (902, "word " * 3000, "b", "o", "o")]
 
 
 def sizes(data):
