@@ -3,7 +3,7 @@ import json
 from conftest import rows
 from pyspark.sql.types import _parse_datatype_string as schema
 
-from millrace.operators.drift import Edit, LandedTable, Node, assign, compile_projection, edit_script, tree_of
+from millrace.operators.drift import LandedTable, Node, assign, compile_projection, edit_script, tree_of
 
 
 def script(a, b):
