@@ -355,8 +355,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def pairs_of(representatives: DataFrame, records: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of a cluster that come from different batches and do not name different meters."""
+    """(a, b), a < b: all pairs of a cluster that come from different batches and do not name different meters.
+
+    Batches of a cluster are paired first, then their records: records of one batch never meet, so the
+    work is the size of the result however many copies one batch holds.
+    """
     members = records.select("id", "seq", "meter").join(bounded_broadcast(representatives, FETCH_ROWS), "id").distinct()
-    x = members.select(F.col("rep"), F.col("id").alias("a"), F.col("seq").alias("s1"), F.col("meter").alias("m1"))
-    y = members.select(F.col("rep"), F.col("id").alias("b"), F.col("seq").alias("s2"), F.col("meter").alias("m2"))
-    return x.join(y, "rep").filter("a < b AND s1 <> s2 AND coalesce(m1 = m2, true)").select("a", "b")
+    held = members.select("rep", "seq").distinct()
+    batches = held.select("rep", F.col("seq").alias("s1")).join(held.select("rep", F.col("seq").alias("s2")), "rep").filter("s1 < s2")
+    x = members.select("rep", F.col("seq").alias("s1"), F.col("id").alias("i"), F.col("meter").alias("m1"))
+    y = members.select("rep", F.col("seq").alias("s2"), F.col("id").alias("j"), F.col("meter").alias("m2"))
+    met = batches.join(x, ["rep", "s1"]).join(y, ["rep", "s2"]).filter("coalesce(m1 = m2, true)")
+    return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
