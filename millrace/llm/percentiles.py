@@ -50,7 +50,7 @@ class Percentiles:
         return out.groupBy(*self.by, "column", "cell").agg(F.sum("n").alias("n"))
 
     def resolve(self, state: DataFrame) -> DataFrame:
-        """(by..., column, probability, value, n)."""
+        """(by..., column, probability, value, n, error_bound): the value is off by at most the bound."""
         scratch = Scratch(state.sparkSession, "percentiles")
         keys = [*self.by, "column"]
         cells = scratch.write(state.select(*keys, "cell", "n"), "cells")
@@ -77,4 +77,5 @@ class Percentiles:
                                   "probability", "rank", (F.col("upto") - F.col("n")).alias("below"))
             n += 1
             goal = scratch.write(narrowed, f"pass{n}")
-        return goal.select(*keys, "probability", (F.col("lo") / F.lit(float(self.per_unit))).alias("value"), F.col("total").alias("n"))
+        return goal.select(*keys, "probability", (F.col("lo") / F.lit(float(self.per_unit))).alias("value"), F.col("total").alias("n"),
+                           F.lit(0.5 / self.per_unit).alias("error_bound"))

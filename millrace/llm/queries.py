@@ -76,7 +76,7 @@ QUERIES = {f.__name__: f for f in (p4_percentiles, p4_monthly_medians, p4_day_st
 _RANKED = """v AS (SELECT {g}, unnest(['fare_amount', 'trip_minutes', 'tip_pct']) AS "column", unnest([fare_amount, trip_minutes, tip_pct]) AS v FROM fact_trips),
  r AS (SELECT {k}, "column", v, row_number() OVER w AS rn, count(*) OVER (PARTITION BY {k}, "column") AS n FROM v WHERE v IS NOT NULL AND NOT isnan(v) WINDOW w AS (PARTITION BY {k}, "column" ORDER BY v)),
  p AS (SELECT unnest([{p}]::DOUBLE[]) AS probability)
-SELECT {k}, "column", probability, CAST(round(v * 100) AS BIGINT) / 100.0::DOUBLE AS value, n FROM r JOIN p ON rn = greatest(1, CAST(ceil(probability * n) AS BIGINT))"""
+SELECT {k}, "column", probability, CAST(round(v * 100) AS BIGINT) / 100.0::DOUBLE AS value, n, 0.005::DOUBLE AS error_bound FROM r JOIN p ON rn = greatest(1, CAST(ceil(probability * n) AS BIGINT))"""
 ORACLE: dict[str, str] = {
     "p4_percentiles": "WITH " + _RANKED.format(g="pickup_zone_id", k="pickup_zone_id", p=", ".join(map(str, PROBABILITIES))),
     "p4_day_states": """WITH v AS (SELECT pickup_zone_id, date_key, unnest(['fare_amount', 'trip_minutes', 'tip_pct']) AS "column", unnest([fare_amount, trip_minutes, tip_pct]) AS v FROM fact_trips)
