@@ -97,8 +97,11 @@ class SpikeDetector:
         part = self._quartiles(sketch, ["_src", "_ctx", "_m"]).select("_src", "_ctx", "_m", F.col("n").alias("cn"), F.col("q2").alias("c2"))
         r = F.create_map(*[x for i, r in enumerate(self.readings) for x in (F.lit(i), F.struct(
             F.lit(math.log(r.times)).alias("up"), F.lit(-math.log(r.fraction)).alias("down")))])
-        f = whole.join(part, ["_src", "_m"]).withColumn("_f", r[F.col("_m")])
-        level = (F.col("c2") * F.col("cn") + F.col("q2") * CONTEXT_WEIGHT) / (F.col("cn") + CONTEXT_WEIGHT)
+        # every context of a source has fences, also one in which it was never read
+        every = whole.withColumn("_ctx", F.explode(F.array(*[F.lit(i) for i in range(self.contexts)])))
+        f = every.join(part, ["_src", "_ctx", "_m"], "left").withColumn("_f", r[F.col("_m")])
+        cn, c2 = F.coalesce(F.col("cn"), F.lit(0)), F.coalesce(F.col("c2"), F.col("q2"))
+        level = (c2 * cn + F.col("q2") * CONTEXT_WEIGHT) / (cn + CONTEXT_WEIGHT)
         iqr, inner = ((F.col("q3") - F.col("q1")) * k for k in (IQR_FACTOR, INNER))
         hi = F.greatest(level + F.col("_f.up"), F.col("q3") + iqr)
         lo = F.least(level - F.col("_f.down"), F.col("q1") - iqr)
