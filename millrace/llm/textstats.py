@@ -37,6 +37,8 @@ _END = re.compile(r"(?:\w\w|[)}\]x'\"»”])[.!][\"')}\]]*(?=\s|\Z)")
 _NUMBERED = re.compile(r"^\s*\d\d+[.](?=\s)", re.M)
 #: Words that one sentence covers at most, on average; text with fewer sentence ends is no running text.
 SENTENCE_WORDS = 28
+#: Below this share of common words the language counts as unknown.
+UNKNOWN_LANGUAGE = 0.06
 _HARD = re.compile(r"\\(?:begin|end|label|maketitle|tableofcontents|bibliography|bibliographystyle|appendix|noindent|newpage|clearpage|author|title|date|documentclass|usepackage|pagestyle|centering|hline|includegraphics|(?:sub)*section|chapter|paragraph|thanks|email|address|affiliation)\b")
 _TAIL = re.compile(r"\\begin\{thebibliography\}|\\section\*?\{(?:References|Bibliography|Literatur|Références|Referencias|Bibliographie)\}|^(?:References|Bibliography|Literatur|Références|Referencias)\s*$", re.M)
 
@@ -55,6 +57,33 @@ def body_of(text: str) -> str:
     return body
 
 
+def _share_any_language(text: str, content: float) -> float:
+    """Share of running lines where no common word of a known language is found: lines of several words in lower-case
+    letters, or of mostly letters in a script without spaces, and ends of sentences often enough."""
+    good = ends = words = 0
+    seen: set[str] = set()
+    for x in text.split("\n"):
+        w = x.split()
+        k = len(w)
+        if not w or x in seen or "&" in x or _MESSAGE.search(x) or x[0] == "\\" and _HARD.match(x):
+            words += k
+            continue
+        seen.add(x)
+        if k * 12 < len(x):  # a script without spaces
+            letters = sum(c.isalpha() for c in x)
+            words += len(x) // 2
+            if letters >= 0.75 * len(x) and not x.isascii():
+                good += len(x)
+                ends += sum(x.count(c) for c in "。！？")
+            continue
+        words += k
+        plain = [t.strip(".,;:!?()\"'«»„“”") for t in w]
+        if k >= 5 and sum(t.isalpha() and len(t) > 1 for t in plain) >= 0.7 * k and sum(t[:1].islower() for t in plain) >= 0.5 * k:
+            good += len(x)
+            ends += len(_END.findall(x))
+    return min(good / max(content, good, 1), SENTENCE_WORDS * ends / max(words, 1))
+
+
 def text_stats(text: str | None) -> tuple[float, ...]:
     """The statistics of one text, STATS in order; all 0 for null and blank texts. The whole text is read."""
     body = body_of(text or "")
@@ -113,6 +142,8 @@ def text_stats(text: str | None) -> tuple[float, ...]:
     content = len(inline) - frame - inline.count("\n") + 0.4 * (len(body) - len(plain)) if plain is not body else len(inline) - frame - inline.count("\n")
     ends = len(_END.findall(inline)) - len(_NUMBERED.findall(inline))
     share = min(good / max(content, good, 1), SENTENCE_WORDS * ends / words)
+    if common < UNKNOWN_LANGUAGE * words and share < 0.5:
+        share = max(share, _share_any_language(inline, content))
     return (float(n), float(words), total / words, symbols / n, digits / n, high / n, punct / every, common / words, share,
             len(set(lines)) / every, single / words, items / every, cells / every, body.count("\\") / words, words / every, refs / every, caps / every,
             math_chars / max(len(body), 1), long_ / words, messages / every, ends / words)

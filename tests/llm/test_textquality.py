@@ -43,6 +43,18 @@ def test_boosting_learns_and_platt_calibrates():
     assert 0 < a < 10 and abs(b) < 5
 
 
+def test_prose_in_languages_without_word_lists():
+    texts = [
+        "Meting bleek moeilijk omdat sensoren steeds opnieuw uitvielen. Daarom herhaalden onderzoekers iedere proef meerdere keren. Uiteindelijk klopten resultaten redelijk goed met eerdere voorspellingen.",
+        "Pomiary powtarzano wielokrotnie, ponieważ czujniki często zawodziły. Ostatecznie wyniki zgadzały się dobrze z wcześniejszymi przewidywaniami. Błędy pozostały niewielkie podczas całego doświadczenia.",
+        "Мы повторили измерения несколько раз, потому что датчики часто выходили из строя. Результаты хорошо согласуются с прежними предсказаниями. Ошибка оставалась небольшой.",
+        "我们重复了几次测量，因为传感器经常失效。结果与之前的预测非常吻合。误差在整个实验过程中都很小。",
+    ]
+    at = STATS.index("prose_share")
+    assert all(text_stats(t)[at] > 0.7 for t in texts)
+    assert all(text_stats(t)[at] < 0.3 for t in JUNK)
+
+
 def sentences(rng, n):
     s = ["the", "a"]
     o = ["kernel", "surface", "ratio", "wave", "mesh"]
