@@ -25,7 +25,7 @@ from millrace.session import Scratch, bounded_broadcast
 
 #: Records in the sample that shows how different sources' records look alike by chance (labelled non-matches).
 TRAIN_ROWS = 200_000
-#: Candidate ids that may be broadcast to fetch their fields (two longs each).
+#: Candidate ids, or keys of records without a meter, that may be broadcast (two or three longs each).
 FETCH_ROWS = 1_000_000
 #: A pair is linked if the fitted probability reaches this.
 THRESHOLD = 0.5
@@ -123,7 +123,7 @@ def candidates(new: DataFrame, old: DataFrame, records: DataFrame) -> DataFrame:
     pairs = y.join(x, "key").filter("oseq < seq").select(F.col("oid").alias("a"), F.col("id").alias("b"))
     bare = old.unionByName(new).filter("meterless").select(F.col("id").alias("uid"), F.col("seq").alias("useq"), F.explode("ukeys").alias("key")).distinct()
     others = records.select("id", "seq", F.explode(unmetered_keys()).alias("key"))
-    met = others.join(bounded_broadcast(bare), "key").filter("seq <> useq").select(
+    met = others.join(bounded_broadcast(bare, FETCH_ROWS), "key").filter("seq <> useq").select(
         F.when(F.col("seq") < F.col("useq"), F.col("id")).otherwise(F.col("uid")).alias("a"),
         F.when(F.col("seq") < F.col("useq"), F.col("uid")).otherwise(F.col("id")).alias("b"))
     return pairs.unionByName(met).distinct()
