@@ -20,7 +20,7 @@ from millrace.quality import recon
 from millrace.quality.rules import RESULT_SCHEMA, Evaluator, load_rules, run_checks
 from millrace.session import build_session
 from millrace.sources.files import csv_snapshot
-from millrace.sources.lander import MANIFEST, MANIFEST_SCHEMA, land_month
+from millrace.sources.lander import MANIFEST, MANIFEST_SCHEMA, land_month, land_reference
 from millrace.store import Store
 from millrace.streaming.arrivals import load_new_files
 
@@ -34,10 +34,10 @@ RULES = os.path.join(os.path.dirname(__file__), "..", "..", "conf", "dq_rules.ym
 
 
 class Pipeline:
-    """One run. `now` is the time of all its results and versions; `sources` gives a month's file."""
+    """One run. `now` is the time of all its results and versions; `sources` gives a month's file, `zones` the zone lookup."""
 
-    def __init__(self, spark: SparkSession, settings: Settings, sources: Callable[[str], str] | None = None, now: str | None = None, rules: str = RULES, tracked: StructType | None = None):
-        self.spark, self.settings, self.sources, self.rules = spark, settings, sources, rules
+    def __init__(self, spark: SparkSession, settings: Settings, sources: Callable[[str], str] | None = None, now: str | None = None, rules: str = RULES, tracked: StructType | None = None, zones: str | None = None):
+        self.spark, self.settings, self.sources, self.rules, self.zones = spark, settings, sources, rules, zones
         self.store = Store(spark, settings.tables)
         self.log = AuditLog(self.store, settings)
         self.now = now or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
@@ -55,6 +55,8 @@ class Pipeline:
     # ---- stages ----
 
     def ingest_landing(self) -> dict:
+        if self.zones:
+            land_reference(self.settings.landing_zones, self.zones)
         if not self.sources or not self.settings.run_month:
             return {"skipped": True, "reason": "no source"}
         month = self.settings.run_month
@@ -190,10 +192,11 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--run-month", default="")
     p.add_argument("--full-refresh", default="false")
     p.add_argument("--source", default="", help="URL or path of a month's file; {month} is replaced")
+    p.add_argument("--zones", default="", help="URL or path of the zone lookup")
     p.add_argument("--stages", nargs="*")
     a = p.parse_args(args)
     settings = Settings(a.root, a.env, a.run_month, parse_flag(a.full_refresh))
-    pipeline = Pipeline(build_session(), settings, (lambda m: a.source.format(month=m)) if a.source else None)
+    pipeline = Pipeline(build_session(), settings, (lambda m: a.source.format(month=m)) if a.source else None, zones=a.zones or None)
     for stage, metrics in pipeline.run(a.stages).items():
         print(stage, metrics)
 

@@ -126,9 +126,8 @@ def test_settings():
 
 
 def test_two_batches_end_to_end(spark, tmp_path, frame):
-    zones = tmp_path / "ws/dev/landing/zones"
-    zones.mkdir(parents=True)
-    zones.joinpath("taxi_zone_lookup.csv").write_text("LocationID,Borough,Zone,service_zone\n" + "\n".join(f"{i},B,Z{i},S" for i in range(1, 300)) + "\n")
+    lookup = tmp_path / "lookup.csv"
+    lookup.write_text("LocationID,Borough,Zone,service_zone\n" + "\n".join(f"{i},B,Z{i},S" for i in range(1, 300)) + "\n")
     raw = RAW.rsplit(", _ingested_at", 1)[0]
     months = {
         "2024-01": [trip(VendorID=i % 3, total_amount=10.0 + i) for i in range(40)] + [trip(VendorID=9, passenger_count=30)],
@@ -141,7 +140,7 @@ def test_two_batches_end_to_end(spark, tmp_path, frame):
         return str(next((tmp_path / m).glob("*.parquet")))
 
     def run(month, full=False):
-        return Pipeline(spark, Settings(str(tmp_path / "ws"), run_month=month, full_refresh=full), source, "2024-03-01 00:00:00").run()
+        return Pipeline(spark, Settings(str(tmp_path / "ws"), run_month=month, full_refresh=full), source, "2024-03-01 00:00:00", zones=str(lookup)).run()
 
     one = run("2024-01")
     assert one["silver_transform"] == {"rows_in": 41, "rows_clean": 40, "rows_quarantined": 1, "skipped": False} and one["gold_fact"]["mode"] == "full"
@@ -167,3 +166,14 @@ def test_merge_reads_only_the_range_of_the_stage(store, frame):
     assert rows(store.read("t.x"), "k") == [("a",), ("b",), ("c",), ("n",)]
     store.merge_insert("t.x", frame([("n", None)], ddl), ["k"], "b2", "d")
     assert store.count("t.x") == 4
+
+
+def test_command_line(spark, tmp_path, frame, capsys):
+    from millrace.ops.runner import main
+
+    raw = RAW.rsplit(", _ingested_at", 1)[0]
+    frame([trip(VendorID=i)[: len(NAMES) - 2] for i in range(5)], raw).coalesce(1).write.parquet(str(tmp_path / "m"))
+    (tmp_path / "z.csv").write_text("LocationID,Borough,Zone,service_zone\n" + "\n".join(f"{i},B,Z,S" for i in range(300)) + "\n")
+    os.replace(next((tmp_path / "m").glob("*.parquet")), tmp_path / "2024-01.parquet")
+    main(["--root", str(tmp_path / "ws"), "--run-month", "2024-01", "--source", str(tmp_path) + "/{month}.parquet", "--zones", str(tmp_path / "z.csv"), "--stages", "ingest_landing", "bronze_autoload", "dq_bronze"])
+    assert "'rules_failed': 0" in capsys.readouterr().out
