@@ -8,6 +8,7 @@ a range join. The exact half-open test runs on the joined row.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,10 +17,6 @@ from pyspark.sql import functions as F
 from millrace.functions.times import epoch_hours
 from millrace.session import Scratch, bounded_broadcast
 
-#: Stand for "since ever" and "until further notice".
-MIN_TS = "TIMESTAMP_NTZ '0001-01-01 00:00:00'"
-MAX_TS = "TIMESTAMP_NTZ '9999-12-31 00:00:00'"
-
 
 @dataclass(frozen=True)
 class Versions:
@@ -67,14 +64,14 @@ class AsOf:
         # the frame is reduced to private names first, so extra columns cannot clash
         base = versions.select(
             F.col(k).alias("_k"), F.col(s).alias("_s"),
-            F.coalesce(F.col(e), F.expr(MAX_TS)).alias("_e"),
+            F.col(e).alias("_e"),
             F.col(v).alias("_v"), F.struct(*attributes).alias("_attr"),
         ).filter("_k IS NOT NULL AND _s IS NOT NULL")
         self.base = base.groupBy("_k", "_s", "_e", "_v").agg(F.max("_attr").alias("_attr"))
-        live = self.base.filter("_s < _e")
+        live = self.base.filter("_e IS NULL OR _s < _e")
         span = live.agg(
             F.min(epoch_hours("_s")).alias("lo"),
-            F.max(F.greatest(epoch_hours("_s"), F.when(F.col("_e") < F.expr(MAX_TS), epoch_hours("_e")))).alias("hi"),
+            F.max(F.greatest(epoch_hours("_s"), epoch_hours("_e"))).alias("hi"),
         ).first()
         self.lo, self.hi = (span.lo, span.hi + 1) if span.lo is not None else (0, 1)
         self.levels = max(1, (self.hi - self.lo + 2).bit_length())
@@ -85,28 +82,29 @@ class AsOf:
         return F.least(F.greatest(epoch_hours(ts) - F.lit(self.lo - 1), F.lit(0)), F.lit(self.hi - self.lo + 1)).cast("bigint")
 
     def _cut(self, df: DataFrame) -> DataFrame:
-        """df(_s, _e, ...) with its nodes; a cell that is only partly covered counts as covered, the exact test decides."""
-        last = F.when(F.col("_e") >= F.expr(MAX_TS), F.lit(self.hi - self.lo + 1)).otherwise(
+        """df(_s, _e, ...) with its nodes; a null _s is since ever, a null _e until further notice. A cell that is only partly
+        covered counts as covered, the exact test decides."""
+        first = F.when(F.col("_s").isNull(), F.lit(0)).otherwise(self._cell(F.col("_s"))).cast("bigint")
+        last = F.when(F.col("_e").isNull(), F.lit(self.hi - self.lo + 1)).otherwise(
             self._cell(F.expr("_e - INTERVAL '0.000001' SECOND")))
-        return _nodes(df, self._cell(F.col("_s")), (last + 1).cast("bigint"), self.levels)
+        return _nodes(df, first, (last + 1).cast("bigint"), self.levels)
 
-    def _enclosing(self, ts: Column) -> Column:
+    def _enclosing(self, ts: Column, levels: list[int]) -> Column:
         cell = self._cell(ts)
-        return F.explode(F.array(*[
-            F.struct(F.lit(i).alias("_lvl"), F.shiftright(cell, i).alias("_node")) for i in range(self.levels + 1)
-        ]))
+        return F.explode(F.array(*[F.struct(F.lit(i).alias("_lvl"), F.shiftright(cell, i).alias("_node")) for i in levels]))
 
     def _resolve(self, live: DataFrame) -> DataFrame:
-        """Disjoint segments per key over all time, the winner's version and attributes or nulls in gaps."""
-        points = live.select("_k", F.col("_s").alias("_p")).union(live.select("_k", F.col("_e"))).union(
-            live.select("_k", F.expr(MIN_TS))).filter(F.col("_p") < F.expr(MAX_TS)).distinct()
+        """Disjoint segments per key over all time, the winner's version and attributes or nulls in gaps. The first one of a
+        key has no start, the last one no end, so no time of an event lies outside of them."""
+        ends = live.filter("_e IS NOT NULL").select("_k", F.col("_e"))
+        points = live.select("_k", F.col("_s").alias("_p")).union(ends).union(live.select("_k", F.lit(None).cast("timestamp_ntz"))).distinct()
         nodes = self._cut(live)
-        hits = points.withColumn("_n", self._enclosing(F.col("_p"))).select("_k", "_p", "_n._lvl", "_n._node").join(
-            nodes, ["_k", "_lvl", "_node"]).filter("_s <= _p AND _p < _e")
+        hits = points.filter("_p IS NOT NULL").withColumn("_n", self._enclosing(F.col("_p"), list(range(self.levels + 1)))).select("_k", "_p", "_n._lvl", "_n._node").join(
+            nodes, ["_k", "_lvl", "_node"]).filter("_s <= _p AND (_e IS NULL OR _p < _e)")
         winner = hits.groupBy("_k", "_p").agg(F.max(F.struct("_s", "_v", "_attr")).alias("_w"))
-        w = Window.partitionBy("_k").orderBy("_p")
+        w = Window.partitionBy("_k").orderBy(F.asc_nulls_first("_p"))
         return points.join(winner, ["_k", "_p"], "left").select(
-            "_k", F.col("_p").alias("_s"), F.coalesce(F.lead("_p").over(w), F.expr(MAX_TS)).alias("_e"),
+            "_k", F.col("_p").alias("_s"), F.lead("_p").over(w).alias("_e"),
             F.col("_w._v").alias("_v"), F.col("_w._attr").alias("_attr"), F.col("_w").isNotNull().alias("_valid"),
         )
 
@@ -122,13 +120,15 @@ class AsOf:
         """The events that lie in one of the segments, each once, with the segment's columns.
 
         No shuffle while the node table is within the broadcast bound; beyond it an equi-join on
-        (key, level, node) shuffles both sides, which AQE splits where a key is hot.
+        (key, level, node) shuffles both sides, which AQE splits where a key is hot. An event is tried at
+        the levels that the node table has, and no others.
         """
         segments = self._segments if segments is None else segments
-        nodes = self._cut(segments).withColumnRenamed("_k", "_key")
-        ev = events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("_n", self._enclosing(F.col(ts)))
+        nodes = self.scratch.write(self._cut(segments).withColumnRenamed("_k", "_key"), f"nodes-{uuid.uuid4().hex}")
+        levels = sorted(r[0] for r in nodes.select("_lvl").distinct().collect())  # as many as the span of time has binary digits
+        ev = events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("_n", self._enclosing(F.col(ts), levels or [0]))
         on = (ev[key] == nodes["_key"]) & (ev["_n._lvl"] == nodes["_lvl"]) & (ev["_n._node"] == nodes["_node"])
-        exact = on & (nodes["_s"] <= ev[ts]) & (ev[ts] < nodes["_e"])
+        exact = on & (nodes["_s"].isNull() | (nodes["_s"] <= ev[ts])) & (nodes["_e"].isNull() | (ev[ts] < nodes["_e"]))
         return ev.join(bounded_broadcast(nodes), exact).drop("_n", "_key", "_lvl", "_node")
 
     def enrich(self, events: DataFrame, key: str, ts: str, prefix: str = "") -> DataFrame:
@@ -141,7 +141,7 @@ class AsOf:
         hit = self.matched(events, key, ts)
         attr = [F.col(f"_attr.{a}").alias(names[a]) for a in self.attributes if a != self.cols.version]
         out = hit.select(*events.columns, F.col("_v").alias(names[self.cols.version]), *attr)
-        known = self._segments.select(F.col("_k").alias("_key")).distinct()
+        known = self.scratch.write(self._segments.select(F.col("_k").alias("_key")).distinct(), f"known-{uuid.uuid4().hex}")
         lost = events.join(
             bounded_broadcast(known),
             (events[key] == F.col("_key")) & events[ts].isNotNull(), "left_anti",

@@ -16,13 +16,12 @@ from millrace.session import table
 ZONE = Versions("zone_id", "effective_from", "effective_to", "zone_key")
 ZONE_ATTRIBUTES = ["borough", "zone_name", "service_zone"]
 
-#: Ordinary rides reach about five times a meter's usual distance or fare, seven times its minutes and a
-#: seventh below; speeds vary by less than two times. The factors stand outside that.
+#: What a cab can measure at all: miles, minutes of a day, dollars, miles an hour.
 READINGS = [
-    Reading("trip_distance", 0.0, 1000.0, 7.0, 1 / 9),
-    Reading("trip_minutes", 0.0, 1440.0, 9.5, 1 / 9),
-    Reading("fare_amount", 0.0, 20000.0, 7.0, 1 / 9),
-    Reading("avg_speed_mph", 0.0, 130.0, 3.5, 1 / 3.5),
+    Reading("trip_distance", 0.0, 1000.0),
+    Reading("trip_minutes", 0.0, 1440.0),
+    Reading("fare_amount", 0.0, 20000.0),
+    Reading("avg_speed_mph", 0.0, 130.0),
 ]
 
 

@@ -67,3 +67,11 @@ def test_shuffled_join_gives_the_same(frame, monkeypatch):
     want = rows(AsOf(versions, VERSIONS, ["name"]).enrich(events, "k", "at"))
     monkeypatch.setattr(module, "bounded_broadcast", lambda df, rows=0: df.hint("shuffle_merge"))
     assert rows(AsOf(versions, VERSIONS, ["name"]).enrich(events, "k", "at")) == want
+
+
+def test_no_event_is_lost_at_either_end_of_time(frame):
+    asof = AsOf(frame([(1, 1, "a", stamp(0), "9999-12-31 23:00:00", "x"), (2, 2, "b", "0001-01-01 00:00:00", None, "x"), (3, 3, "c", stamp(3), stamp(4), "x")], DDL), VERSIONS, ["name"])
+    times = ["-0044-03-15 00:00:00", "0001-01-01 00:00:00", stamp(3), "9999-12-31 01:00:00", "9999-12-31 23:30:00", "+12024-01-01 00:00:00"]
+    events = [(10 * k + i, k, t, "e") for k in (1, 2, 3) for i, t in enumerate(times)]
+    got = dict(rows(asof.enrich(frame(events, EVENTS), "k", "at"), "id", "v"))
+    assert got == {10: None, 11: None, 12: 1, 13: 1, 14: None, 15: None, 20: None, 21: 2, 22: 2, 23: 2, 24: 2, 25: 2, 30: None, 31: None, 32: 3, 33: None, 34: None, 35: None}
