@@ -6,26 +6,34 @@ every (group, column, percentile) keeps an interval of cells that holds its targ
 counts the rows below the midpoints of all intervals at once and narrows them. With `split` - 1
 midpoints a pass, an interval of w cells is resolved in log(w) / log(split) passes.
 
-Error bound: half a cell, 0.5 / per_unit, absolute; none if values are multiples of 1 / per_unit.
+Error bound: half a cell, 0.5 / per_unit, absolute; none if values are multiples of 1 / per_unit. Beyond
+EXACT cells from zero, where doubles are wider apart than cells, cells grow with the value (relative
+width 2^-40) and the bound is relative; infinite values have the outermost cells.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.session import Scratch, bounded_broadcast
 
+#: Cells up to this number are equally wide; it is where doubles stop holding every whole number.
+EXACT = 1 << 53
+#: Cells per doubling beyond it, and the cell of infinite values.
+PER_DOUBLING, OUTERMOST = 1 << 40, 1 << 61
+
 
 @dataclass
 class Percentiles:
     """Percentile p of n values is the one of rank max(1, ceil(p * n)).
 
-    Null, NaN and infinite values are left out; a null group is a group of its own; repeated rows
-    count as often as they occur; groups without any value give no rows. Values must stay below
-    9e18 / per_unit.
+    Null and NaN are no values; infinite and very large ones count like any other, in their place. A null
+    group is a group of its own; repeated rows count as often as they occur; groups without any value
+    give no rows.
     """
 
     by: list[str]
@@ -34,13 +42,27 @@ class Percentiles:
     per_unit: int = 100
     split: int = 64
 
+    def _cell(self, v: Column) -> Column:
+        """The cell of a value; cells grow with values."""
+        x = F.abs(v * self.per_unit)
+        far = EXACT + F.round((F.log2(F.abs(v)) + math.log2(self.per_unit) - 53) * PER_DOUBLING).cast("bigint")
+        size = F.when(F.abs(v) == math.inf, F.lit(OUTERMOST)).when(x < EXACT, F.round(x).cast("bigint")).otherwise(F.greatest(F.lit(EXACT), far))
+        return F.when(v < 0, -size).otherwise(size)
+
+    def _value(self, cell: Column) -> tuple[Column, Column]:
+        """A cell's value and error bound."""
+        n = F.abs(cell)
+        far = F.pow(F.lit(2.0), (n - EXACT) / float(PER_DOUBLING) + (53 - math.log2(self.per_unit)))
+        size = F.when(n < EXACT, n / F.lit(float(self.per_unit))).when(n == OUTERMOST, F.lit(math.inf)).otherwise(far)
+        bound = F.when((n < EXACT) | (n == OUTERMOST), F.lit(0.5 / self.per_unit)).otherwise(far / float(PER_DOUBLING))
+        return F.when(cell < 0, -size).otherwise(size), bound
+
     def state(self, df: DataFrame, *also: str) -> DataFrame:
         """(by..., also..., column, cell, n); map-side combined, so a hot group sends its distinct cells only."""
         each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in self.columns]))
         keys = [*self.by, *also]
-        rows = df.select(*keys, each.alias("_x")).select(*keys, "_x.column", "_x.v")
-        rows = rows.filter(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < 9e18 / self.per_unit))
-        return rows.groupBy(*keys, "column", F.round(F.col("v") * self.per_unit).cast("bigint").alias("cell")).agg(F.count("*").alias("n"))
+        rows = df.select(*keys, each.alias("_x")).select(*keys, "_x.column", "_x.v").filter(F.col("v").isNotNull() & ~F.isnan("v"))
+        return rows.groupBy(*keys, "column", self._cell(F.col("v")).alias("cell")).agg(F.count("*").alias("n"))
 
     def merge(self, *states: DataFrame) -> DataFrame:
         """The state of all rows of several states."""
@@ -60,7 +82,7 @@ class Percentiles:
         goal = scratch.write(goal, "pass0")
         n = 0
         while not goal.filter("lo < hi").isEmpty():
-            step = F.ceil((F.col("hi") - F.col("lo") + 1) / F.lit(self.split)).cast("bigint")
+            step = F.expr(f"(hi - lo) div {self.split} + 1")
             g = goal.select(*[F.col(k).alias(f"_{k}") for k in keys], "probability", "total", "rank", "below", "lo", "hi", step.alias("step"))
             on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("cell").between(F.col("lo"), F.col("hi"))]
             cond = on[0]
@@ -68,7 +90,7 @@ class Percentiles:
                 cond = cond & c
             met = cells.join(bounded_broadcast(g), cond)
             own = [*[f"_{k}" for k in keys], "probability", "total", "rank", "below", "lo", "hi", "step"]
-            part = met.groupBy(*own, F.floor((F.col("cell") - F.col("lo")) / F.col("step")).alias("part")).agg(F.sum("n").alias("n"))
+            part = met.groupBy(*own, F.expr("(cell - lo) div step").alias("part")).agg(F.sum("n").alias("n"))
             w = Window.partitionBy(*own).orderBy("part")  # at most `split` rows a group
             part = part.withColumn("upto", F.col("below") + F.sum("n").over(w))
             hit = part.filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
@@ -77,5 +99,5 @@ class Percentiles:
                                   "probability", "rank", (F.col("upto") - F.col("n")).alias("below"))
             n += 1
             goal = scratch.write(narrowed, f"pass{n}")
-        return goal.select(*keys, "probability", (F.col("lo") / F.lit(float(self.per_unit))).alias("value"), F.col("total").alias("n"),
-                           F.lit(0.5 / self.per_unit).alias("error_bound"))
+        value, bound = self._value(F.col("lo"))
+        return goal.select(*keys, "probability", value.alias("value"), F.col("total").alias("n"), bound.alias("error_bound"))
