@@ -100,6 +100,13 @@ class Store:
             raise ValueError(f"there is no table {name}")
         return self.spark.read.schema(StructType.fromJson(entry["schema"])).option("recursiveFileLookup", True).parquet(f"{self._dir(name)}/v{entry['version']}")
 
+    def read_batch(self, name: str, batch: str) -> DataFrame:
+        """The rows of one batch that was appended to the current version."""
+        entry = self._entry(name)
+        if entry is None:
+            raise ValueError(f"there is no table {name}")
+        return self.spark.read.schema(StructType.fromJson(entry["schema"])).parquet(f"{self._dir(name)}/v{entry['version']}/b-{batch}")
+
     def overwrite(self, name: str, df: DataFrame, cluster_by: list[str] | None = None) -> int:
         """Writes df as a new version; it may be computed from the current one. cluster_by keeps ranges of these columns
         together, so that scans skip files and row groups."""
