@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import linkage
+from millrace.llm.linkage import Linker
 from millrace.llm.mixing import Mixer
 from millrace.llm.packing import fill, pack
 from millrace.llm.percentiles import Percentiles
@@ -19,13 +19,14 @@ def p4_day_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    reps, records = linkage.Linker(spark).link_all(table(spark, d, "yellow_trips"))
-    return linkage.pairs_of(reps, records).select(F.col("a").alias("trip_id_a"), F.col("b").alias("trip_id_b"))
+    """All files in order of arrival through the incremental linker; every pair of deliveries of one ride."""
+    pairs = Linker(spark).replay(table(spark, d, "yellow_trips")).pairs()
+    return pairs.select(F.col("a").alias("trip_id_a"), F.col("b").alias("trip_id_b"))
 
 
 def p7_representatives(spark: SparkSession, d: str) -> DataFrame:
-    reps, _ = linkage.Linker(spark).link_all(table(spark, d, "yellow_trips"))
-    return reps.select(F.col("id").alias("trip_id"), F.col("rep").alias("representative_id"))
+    clusters = Linker(spark).replay(table(spark, d, "yellow_trips")).clusters()
+    return clusters.select(F.col("id").alias("trip_id"), F.col("rep").alias("representative_id"))
 
 
 PROBABILITIES = [0.1, 0.25, 0.5, 0.75, 0.9, 0.99]

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from millrace.llm import linkage
 from millrace.session import Scratch
@@ -66,9 +67,8 @@ def make(seed=1, n=150):
     return out, {(min(p), max(p)) for p in pairs}
 
 
-def found(spark, df):
-    reps, records = linkage.Linker(spark).link_all(df)
-    return {tuple(r) for r in linkage.pairs_of(reps, records).collect()}
+def found(spark, df, files=linkage.FILES_PER_BATCH):
+    return {tuple(r) for r in linkage.Linker(spark).replay(df, files).pairs().collect()}
 
 
 def test_finds_the_planted_pairs(spark, frame):
@@ -77,21 +77,77 @@ def test_finds_the_planted_pairs(spark, frame):
     assert len(got & pairs) >= 0.97 * len(pairs) and len(got - pairs) <= 0.02 * len(pairs)
 
 
-def test_file_by_file_gives_the_same(spark, frame, tmp_path):
-    data, _ = make(2, 100)
-    linker = linkage.Linker(spark)
-    reps, records = linker.link_all(frame(data, DDL))
-    whole = {tuple(r) for r in linkage.pairs_of(reps, records).collect()}
-    step = linkage.Linker(spark)
-    for f in ("f1", "f2", "f3"):
-        step.accept(frame([r for r in data if r[11] == f], DDL), str(tmp_path / "store"), linker.weights)
-    stored = spark.read.parquet(str(tmp_path / "store/representatives")).groupBy("id").agg({"at": "max"}).count()
-    latest = spark.read.parquet(str(tmp_path / "store/representatives"))
-    from pyspark.sql import functions as F
+def test_any_number_of_files_a_batch_gives_the_same(spark, frame):
+    df = frame(make(2, 100)[0], DDL)
+    assert found(spark, df, 1) == found(spark, df, 2) == found(spark, df, 3)
 
-    final = latest.groupBy("id").agg(F.max_by("rep", "at").alias("rep"))
-    assert stored == final.count()
-    assert {tuple(r) for r in linkage.pairs_of(final, spark.read.parquet(str(tmp_path / "store/records"))).collect()} == whole
+
+def numbered(frame, data):
+    """One file's rides, as `accept` takes them."""
+    return linkage.rides(frame(data, DDL))
+
+
+def ride(no, meter="M00-00001", sec=5000, file="f1", **k):
+    r = dict(day=1, dist=2.0, fare=9.0, total=12.0, pz=5, dz=6, hash="h") | k
+    times = (t(r["day"], sec), t(r["day"], sec + 900)) if sec is not None else (None, None)
+    return (no, meter, 1, *times, r["dist"], r["fare"], r["total"], r["pz"], r["dz"], r["hash"], file, "2023-11-01 00:00:00", "o", "o")
+
+
+def test_a_batch_gives_its_own_links_only_and_touches_their_clusters_only(spark, frame, tmp_path):
+    k = linkage.Linker(spark, str(tmp_path / "store"))
+    two = dict(sec=9000, dist=7.5, fare=20.0, total=25.0, pz=8, dz=9, hash="g")
+    links = lambda data, name: sorted(tuple(r) for r in k.accept(numbered(frame, data), name).collect())
+    log = lambda at: k.store.read(linkage.CLUSTERS).filter(f"at = {at}").count()
+    assert links([ride(1), ride(2, "M00-00002", **two)], "one") == []
+    assert links([ride(3, "m00/1"), ride(4, None, **two)], "two") == [(1, 3), (2, 4)] and log(2) == 4
+    assert links([ride(5, "M00-00009", 50000, dist=3.3, fare=14.0, total=18.0, hash="x")], "three") == [] and log(3) == 0  # same month, other ride
+    before = k.store.count(linkage.CLUSTERS)
+    assert links([ride(3, "m00/1"), ride(4, None, **two)], "two") == [(1, 3), (2, 4)]  # the same batch again
+    assert k.store.count(linkage.CLUSTERS) == before and len(k._log()) == 3
+    assert links([ride(6)], "four") == [(1, 6), (3, 6)] and log(4) == 1  # the cluster's other members stay as they are
+    assert dict(rows(k.clusters(), "id", "rep")) == {1: 1, 3: 1, 6: 1, 2: 2, 4: 2}
+    assert rows(k.pairs()) == [(1, 3), (1, 6), (2, 4), (3, 6)]
+    again = linkage.Linker(spark, str(tmp_path / "store"))
+    assert again.weights() == k.weights() and again.weights().m["meter"][0] > 0.5
+
+
+def test_a_link_between_old_clusters_joins_all_their_members(spark, frame):
+    k = linkage.Linker(spark)
+    none = numbered(frame, []).limit(0).select(F.col("id").alias("a"), "id", "seq", "meter", "p")
+    w = linkage.fit([])
+
+    def cluster(number, links):
+        node = lambda s: f"named_struct('seq', {s}, 'meter', 'm', 'p', 5L)"
+        df = spark.createDataFrame([(a, b, s, z) for a, s, b, z in links], "a bigint, b bigint, s int, z int").selectExpr(
+            "a", "b", f"{node('s')} x", f"{node('z')} y", "true copy", *[f"0 {f}" for f in linkage.LEVELS])
+        k._cluster(df, none, w, number, F.lit(True), Scratch(spark, "t"))
+
+    cluster(1, [(1, 1, 2, 2), (5, 1, 6, 2)])
+    cluster(2, [(2, 2, 7, 3), (6, 2, 7, 3)])
+    last = k.store.read(linkage.CLUSTERS).groupBy("id").agg(F.max_by("rep", "at").alias("r")).select("id", "r.id")
+    assert {tuple(r) for r in last.collect()} == {(i, 1) for i in (1, 2, 5, 6, 7)}
+
+
+def test_deliveries_without_a_time(spark, frame):
+    a, b = ride(1, sec=None), ride(2, sec=None, file="f2", total=13.0)
+    c, d = ride(3, "M00-00002", None, dist=4.0, fare=11.0, hash="z"), ride(4, None, None, "f2", dist=4.0, fare=11.0, hash="z")
+    other = ride(5, "M00-00003", None, "f2", hash="h")
+    later = [(*x[:12], "2023-12-01 00:00:00", "o", "o") for x in (b, d, other)]
+    assert found(spark, frame([a, c, *later], DDL)) == {(1, 2), (3, 4)}
+
+
+def test_a_digest_knows_which_field_is_null(spark, frame):
+    x, y = numbered(frame, [ride(1, pz=None, dz=5), ride(2, pz=5, dz=None)]).orderBy("id").collect()
+    assert (x.d1, x.d2) != (y.d1, y.d2)
+
+
+def test_ranges():
+    assert linkage.ranges([]) == [] and linkage.ranges([(10, 20), (30, 40)]) == [(10 - linkage.FARTHEST, 40 + linkage.FARTHEST)]
+    rng = random.Random(4)
+    spans = [(x, x + 5) for x in (rng.randrange(10**9) for _ in range(500))]
+    got = linkage.ranges(spans)
+    assert len(got) <= linkage.MOST_RANGES and all(any(lo <= a - linkage.FARTHEST and b + linkage.FARTHEST <= hi for lo, hi in got) for a, b in spans)
+    assert sorted(got) == got and all(x[1] < y[0] for x, y in zip(got, got[1:]))
 
 
 def test_copies_ties_nulls_and_empty(spark, frame):
@@ -118,12 +174,6 @@ def test_union_find_on_a_chain(spark, frame, size):
     assert got == {**{i: 0 for i in range(size + 1)}, 100: 100, 101: 100}
 
 
-def test_union_find_updates_known_clusters(spark, frame):
-    known = frame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "id bigint, rep bigint")
-    got = dict(rows(linkage.union_find(frame([(2, 6)], "a bigint, b bigint"), Scratch(spark, "t"), known)))
-    assert got == {1: 1, 2: 1, 5: 1, 6: 1}
-
-
 def test_canonical_meter(spark, frame):
     df = frame([("M00-00199",), ("m00/199",), (" m00 0199",), ("",), (None,), ("M01-00199",)], "meter_id string")
     assert [r[0] for r in df.select(linkage.canonical_meter("meter_id")).collect()] == ["M00-199"] * 3 + [None, None, "M01-199"]
