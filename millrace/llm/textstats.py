@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from millrace.session import ship
 
@@ -149,11 +149,67 @@ def text_stats(text: str | None) -> tuple[float, ...]:
             math_chars / max(len(body), 1), long_ / words, messages / every, ends / words)
 
 
-SCHEMA = ", ".join(f"{s} double" for s in STATS)
+_SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[^\W\d_a-zß-ÿ]|[¿¡\\(\d]|\Z)")
+_TOKEN = re.compile(r"[^\W\d_]+|\d+|\S")
+#: Votes of the labelers: prose at or above the first share, junk at or below the second, none between.
+RUNNING, COVERED = (0.6, 0.3), (0.5, 0.1)
+#: So many lines or more, this share of them of one shape that is no plain text, are a structure.
+SHAPED_LINES, SHAPED_SHARE = 6, 0.6
 
 
-def statistics(documents: DataFrame) -> DataFrame:
-    """(doc_id, STATS...) of every document. One Arrow pass over the texts, no shuffle; repeated rows stay repeated."""
+def _covered(inline: str, display: int) -> float:
+    """Share of the text in whole sentences: 4 to 60 words, for the most part in lower-case letters, not seen before.
+    The characters of displayed formulas count for less than half, as prose may have many."""
+    lines = [x for x in inline.split("\n") if x.strip() and not (x[0] == "\\" and _HARD.match(x))]
+    text = " ".join(lines)
+    good, seen = 0, set()
+    for x in _SENTENCE.split(text):
+        w = x.split()
+        if 4 <= len(w) <= 60 and x not in seen and x.rstrip("\"')] ")[-1:] in ".!?" and "&" not in x:
+            if sum(t.strip(".,;:!?()\"'«»„“”").isalpha() and t[:1].islower() for t in w) >= 0.55 * len(w):
+                good += len(x)
+        seen.add(x)
+    return good / max(len(text) + 0.4 * display, 1)
+
+
+def _shaped(body: str) -> bool:
+    """Whether most lines begin in one and the same way that is not words: a macro, numbers and separators, a label."""
+    shapes: dict[str, int] = {}
+    n = 0
+    for x in body.split("\n"):
+        if not x.strip():
+            continue
+        n += 1
+        first = [("w" if t.isalpha() else "0" if t.isdigit() else t) for t in _TOKEN.findall(x[:60])[:4]]
+        if any(t != "w" and t not in ",.$" for t in first[:3]):
+            key = "".join(first)
+            shapes[key] = shapes.get(key, 0) + 1
+    return n >= SHAPED_LINES and max(shapes.values(), default=0) >= SHAPED_SHARE * n
+
+
+def weak_vote(text: str | None, stats: tuple[float, ...]) -> int:
+    """1 for prose, -1 for structural junk, 0 if unknown: the sign of what three labelers say, each of which may abstain:
+    the share of running lines, the share of the text in whole sentences, and the sameness of line beginnings.
+    None of the three is a feature of the classifier."""
+    body = body_of(text or "")
+    if not body.strip():
+        return 0
+    plain = _DISPLAY.sub(" ", body) if "\\begin{" in body or "\\[" in body else body
+    inline = _MATH.sub("x", plain) if "$" in plain else plain
+    share, cover = stats[STATS.index("prose_share")], _covered(inline, len(body) - len(plain))
+    votes = (share >= RUNNING[0]) - (share <= RUNNING[1])
+    if inline.count(" ") * 12 >= len(inline):  # in a script without spaces sentences are not told by words
+        votes += (cover >= COVERED[0]) - (cover <= COVERED[1])
+    votes -= _shaped(body)
+    return int(votes > 0) - int(votes < 0)
+
+
+SCHEMA = ", ".join(f"{s} double" for s in STATS) + ", vote int"
+
+
+def statistics(documents: DataFrame, voted: Column) -> DataFrame:
+    """(doc_id, STATS..., vote) of every document; vote is null unless `voted`. One Arrow pass over the texts, no shuffle;
+    repeated rows stay repeated."""
 
     ship(documents.sparkSession)
 
@@ -162,6 +218,7 @@ def statistics(documents: DataFrame) -> DataFrame:
             got = [text_stats(t) for t in rows["text"]]
             out = pd.DataFrame(got, columns=list(STATS), dtype="float64") if got else pd.DataFrame({s: pd.Series(dtype="float64") for s in STATS})
             out.insert(0, "doc_id", rows["doc_id"].to_numpy())
+            out["vote"] = pd.array([weak_vote(t, s) if v else None for t, s, v in zip(rows["text"], got, rows["voted"])], dtype="Int32")
             yield out
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id bigint, " + SCHEMA)
+    return documents.select("doc_id", "text", voted.alias("voted")).mapInPandas(run, "doc_id bigint, " + SCHEMA)

@@ -1,12 +1,17 @@
+import os
 import random
+import sys
 
 import numpy as np
 from conftest import rows
 
 from millrace.llm.gbt import Boosted, platt
-from millrace.llm.holdout import JUNK, PROSE
-from millrace.llm.textquality import scored
-from millrace.llm.textstats import STATS, body_of, text_stats
+
+sys.path.insert(0, os.path.dirname(__file__))
+from texts import JUNK, PROSE
+
+from millrace.llm.textquality import FEATURES, ProseModel, labelled, scored
+from millrace.llm.textstats import STATS, body_of, text_stats, weak_vote
 
 DOCS = "doc_id bigint, text string, chars string, not_prose string"
 
@@ -76,3 +81,20 @@ def test_tiny_and_empty_tables(frame):
     assert scored(frame([], DOCS)).count() == 0
     got = dict(rows(scored(frame([(1, PROSE[0], "", ""), (2, JUNK[0], "", ""), (2, JUNK[0], "", "")], DOCS)).dropDuplicates(), "doc_id", "not_prose"))
     assert got[1] < 0.5 <= got[2]
+
+
+def none():
+    return np.zeros((0, len(STATS))), np.zeros(0, dtype=np.int64)
+
+
+def test_labelers_abstain_and_are_no_features():
+    votes = lambda texts: [weak_vote(t, text_stats(t)) for t in texts]
+    assert -1 not in votes(PROSE) and 1 not in votes(JUNK) and sum(votes(PROSE)) >= 0.7 * len(PROSE) and -sum(votes(JUNK)) >= 0.7 * len(JUNK)
+    assert votes([None, "", " \n"]) == [0, 0, 0] and "prose_share" not in FEATURES
+
+
+def test_model_beats_every_single_feature_on_the_holdout():
+    ids, x, y = labelled("holdout.csv")
+    assert len(set(ids)) == len(ids) >= 200 and not set(ids) & set(labelled("examples.csv")[0]) and x.shape[1] == len(STATS)
+    r = ProseModel(*none()).report()  # as on an empty table
+    assert r["errors"] <= 2 < r["errors_of_best_cut"] and r["calibration_error"] < 0.05 and r["squared_error"] < 0.02

@@ -1,4 +1,4 @@
-"""The hand-checked holdout: short texts written for it, by kind. It calibrates probabilities and trains nothing."""
+"""Short texts written by hand, by kind; the classifier has never seen them."""
 
 from __future__ import annotations
 
