@@ -1,8 +1,8 @@
 """Schemas that drift between files: nested schema trees, minimum-cost edit scripts, projections.
 
 A file's schema is a tree of fields. The edit distance between two trees adds, deletes, renames and
-moves fields at least cost; the children of two nodes are matched by an exact assignment. Scripts
-are compiled into one projection per file, so that all files read into one consistent table.
+moves fields at least cost; fields are matched by an exact assignment, and a field that stays under
+another parent is a move. Scripts are compiled into one projection per file, so that all files read into one consistent table.
 Trees and scripts are file metadata (a few kilobytes a file) and live on the driver; everything
 taken from rows is aggregated by Spark first.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
@@ -18,9 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField, StructType
 
+from millrace.session import bounded_broadcast
+
 ADD, DELETE, MOVE, RETYPE = 1.0, 1.0, 0.8, 0.3
 #: A rename costs at most this; a dearer one is an add and a delete.
 RENAME_LIMIT = 0.9
+#: Matchings of structs that are tried one by one; schemas with more structs are searched step by step.
+MATCHINGS = 2000
 #: Shares of the value profile and the spelling in the likeness of two fields.
 PROFILE_WEIGHT, NAME_WEIGHT = 0.75, 0.25
 
@@ -102,68 +107,119 @@ def assign(cost: list[list[float]]) -> list[int]:
     return out
 
 
-def _pair(a: Node, b: Node, memo: dict) -> tuple[float, list[tuple[Node, Node]]]:
-    """Cost of turning a into b, and the pairs of nodes that stay (without moves)."""
-    key = (id(a), id(b))
-    if key in memo:
-        return memo[key]
+def _cost(a: Node, b: Node) -> float:
+    """Cost of keeping a as b under matched parents; infinite where that is no rename."""
+    if (a.kind == "struct") != (b.kind == "struct"):
+        return math.inf
     like = likeness(a, b)
-    cost = 0.0 if a.name == b.name else (0.1 if like == 1.0 else 2 * (1 - like))
-    if a.kind != b.kind:
-        cost += RETYPE
-    n, m = len(a.children), len(b.children)
-    pairs = [(a, b)]
+    named = 0.0 if a.name == b.name else 0.1 if like == 1.0 else 2 * (1 - like)
+    return math.inf if named > RENAME_LIMIT else named + (RETYPE if a.kind != b.kind else 0.0)
+
+
+class _Forest:
+    """The nodes of a tree under its root, with the numbers of their parents (0 is the root)."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.parent, self.path = [root], [-1], [()]
+        at = 0
+        while at < len(self.nodes):
+            for c in self.nodes[at].children:
+                self.nodes.append(c)
+                self.parent.append(at)
+                self.path.append((*self.path[at], c.name))
+            at += 1
+        self.structs = [i for i, n in enumerate(self.nodes) if i and n.kind == "struct"]
+        self.leaves = [i for i, n in enumerate(self.nodes) if i and n.kind != "struct"]
+
+
+def _best(old: _Forest, new: _Forest, structs: dict[int, int]) -> tuple[float, dict[int, int]]:
+    """Least cost, and the nodes kept, if these structs are matched (0 to 0): leaves are matched by an exact assignment in
+    which a leaf whose parents are not matched to each other costs a move more."""
+    cost = DELETE * (len(old.structs) - len(structs) + 1) + ADD * (len(new.structs) - len(structs) + 1)
+    moved = lambda i, j: 0.0 if structs.get(old.parent[i]) == new.parent[j] else MOVE
+    for i, j in structs.items():
+        if i:
+            cost += _cost(old.nodes[i], new.nodes[j]) + moved(i, j)
+    keep = dict(structs)
+    left = {(new.parent[j], new.nodes[j].name, new.nodes[j].kind): j for j in new.leaves}
+    for i in old.leaves:  # what stays as it is costs nothing
+        j = left.get((structs.get(old.parent[i], -1), old.nodes[i].name, old.nodes[i].kind))
+        if j is not None:
+            keep[i] = j
+    done = set(keep.values())
+    rows, cols = [i for i in old.leaves if i not in keep], [j for j in new.leaves if j not in done]
+    n, m = len(rows), len(cols)
     if n + m:
+        each = [[_cost(old.nodes[i], new.nodes[j]) + moved(i, j) for j in cols] for i in rows]
         big = 1e6
-        matrix, sub = [], {}
-        for i in range(n + m):
-            row = []
-            for j in range(n + m):
-                if i < n and j < m:
-                    x, y = a.children[i], b.children[j]
-                    c, ps = _pair(x, y, memo)
-                    if x.name != y.name and 2 * (1 - likeness(x, y)) > RENAME_LIMIT:
-                        c = big
-                    sub[i, j] = ps
-                    row.append(c)
-                elif i < n:
-                    row.append(DELETE * a.children[i].size())
-                elif j < m:
-                    row.append(ADD * b.children[j].size())
-                else:
-                    row.append(0.0)
-            matrix.append(row)
-        for i, j in enumerate(assign(matrix)):
-            cost += matrix[i][j]
-            if i < n and j < m:
-                pairs += sub[i, j]
-    memo[key] = cost, pairs
-    return memo[key]
+        matrix = [[min(c, big) for c in r] + [DELETE] * n for r in each] + [[ADD] * m + [0.0] * n for _ in range(m)]
+        for k, at in enumerate(assign(matrix)):
+            cost += matrix[k][at]
+            if k < n and at < m:
+                keep[rows[k]] = cols[at]
+    return cost, keep
+
+
+def _matchings(old: list[int], new: list[int]):
+    """Every way to match some of old with some of new."""
+    if not old:
+        yield {}
+        return
+    for rest in _matchings(old[1:], new):
+        yield rest
+        for j in new:
+            if j not in rest.values():
+                yield rest | {old[0]: j}
+
+
+def least_edits(old: Node, new: Node) -> tuple[float, _Forest, _Forest, dict[int, int]]:
+    """Least cost of turning old into new by adding, deleting, renaming, retyping and moving nodes, and the nodes kept.
+
+    Every matching of structs is tried where there are at most MATCHINGS of them, which is exact; beyond that
+    structs of one path are matched first and one struct after another is matched anew while that is cheaper.
+    """
+    a, b = _Forest(old), _Forest(new)
+    ways = sum(math.comb(len(a.structs), k) * math.comb(len(b.structs), k) * math.factorial(k) for k in range(min(len(a.structs), len(b.structs)) + 1))
+    if ways <= MATCHINGS:
+        every = [{0: 0} | m for m in _matchings(a.structs, b.structs) if all(_cost(a.nodes[i], b.nodes[j]) < math.inf for i, j in m.items())]
+        found = [(*_best(a, b, m), -len(m)) for m in every]
+        cost, keep, _ = min(found, key=lambda x: (round(x[0], 9), x[2]))
+        return cost, a, b, keep
+    at = {b.path[j]: j for j in b.structs}
+    structs = {0: 0} | {i: at[a.path[i]] for i in a.structs if a.path[i] in at}
+    cost, keep = _best(a, b, structs)
+    better = True
+    while better:
+        better = False
+        for i in a.structs:
+            for j in [None, *b.structs]:
+                other = {x: y for x, y in structs.items() if x != i and y != j} | ({} if j is None else {i: j})
+                if j is not None and _cost(a.nodes[i], b.nodes[j]) == math.inf:
+                    continue
+                c, k = _best(a, b, other)
+                if c < cost - 1e-9:
+                    cost, keep, structs, better = c, k, other, True
+    return cost, a, b, keep
 
 
 def edit_script(old: Node, new: Node) -> list[Edit]:
-    """The edits of least cost from old to new, in path order. Equal trees give none; a field that vanishes
-    in one struct and appears in another under a like name is a move."""
-    _, pairs = _pair(old, new, {})
-    at_old, at_new = {id(n): p for p, n in old.walk()}, {id(n): p for p, n in new.walk()}
-    kept = {id(x): y for x, y in pairs}
-    came = {id(y) for _, y in pairs}
+    """The edits of least cost from old to new, in path order. Equal trees give none. A node that stays under another
+    parent is a move, whatever its name there."""
+    _, a, b, keep = least_edits(old, new)
     out: list[Edit] = []
-    gone = [(p, n) for p, n in old.walk() if id(n) not in kept]
-    fresh = [(p, n) for p, n in new.walk() if id(n) not in came]
-    for p, n in list(gone):
-        best = next(((q, m) for q, m in fresh if plain(m.name) == plain(n.name) and q[:-1] != p[:-1] and m.kind == n.kind), None)
-        if best:
-            out.append(Edit("move", p, best[0], n.kind))
-            gone.remove((p, n))
-            fresh.remove(best)
-    for x, y in pairs:
-        if id(x) in at_old and id(y) in at_new:
-            if x.name != y.name:
-                out.append(Edit("rename", at_old[id(x)], at_new[id(y)], y.kind))
-            if x.kind != y.kind:
-                out.append(Edit("retype", at_old[id(x)], at_new[id(y)], y.kind))
-    out += [Edit("delete", p, (), n.kind) for p, n in gone] + [Edit("add", (), p, n.kind) for p, n in fresh]
+    for i, j in keep.items():
+        x, y = a.nodes[i], b.nodes[j]
+        if not i:
+            continue
+        if keep.get(a.parent[i]) != b.parent[j]:
+            out.append(Edit("move", a.path[i], b.path[j], y.kind))
+        elif x.name != y.name:
+            out.append(Edit("rename", a.path[i], b.path[j], y.kind))
+        if x.kind != y.kind:
+            out.append(Edit("retype", a.path[i], b.path[j], y.kind))
+    kept = set(keep.values())
+    out += [Edit("delete", a.path[i], (), a.nodes[i].kind) for i in range(1, len(a.nodes)) if i not in keep]
+    out += [Edit("add", (), b.path[j], b.nodes[j].kind) for j in range(1, len(b.nodes)) if j not in kept]
     return sorted(out, key=lambda e: (e.path or e.to, e.op))
 
 
@@ -221,6 +277,8 @@ def union_schema(schemas: list[StructType]) -> StructType:
     return out
 
 
+#: Footers that are read at a time.
+FOOTERS = 16
 #: Numbers by width (fixed order of the engine's own types).
 _NUMBERS = (ByteType, ShortType, IntegerType, LongType, FloatType, DoubleType)
 
@@ -237,13 +295,19 @@ def wider(a: DataType, b: DataType) -> DataType:
     return StringType()
 
 
+def schemas_of(spark: SparkSession, paths: list[str]) -> list[StructType]:
+    """The schemas of Parquet files, several footers at a time."""
+    with ThreadPoolExecutor(FOOTERS) as pool:
+        return list(pool.map(lambda p: spark.read.parquet(p).schema, paths))
+
+
 def read_unified(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[tuple[str, list[Edit]]]]:
     """Parquet files of drifting, nested schemas as one table, and each file's script against the file before it.
 
     Paths are taken in their order. Files of one schema are one scan, each with the projection that its
     script compiles to, so Spark reads only what the projection needs.
     """
-    schemas = [(p, spark.read.parquet(p).schema) for p in paths]
+    schemas = list(zip(paths, schemas_of(spark, paths)))
     target = union_schema([s for _, s in schemas])
     scripts = [(p, edit_script(tree_of(before), tree_of(s))) for (_, before), (p, s) in zip(schemas, schemas[1:])]
     groups: dict[str, tuple[StructType, list[str]]] = {}
@@ -314,6 +378,16 @@ class LandedTable:
         rows = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
         return rows.groupBy("file", "name", _value_cell(F.col("v")).alias("cell")).agg(F.count("*").alias("n"))
 
+    def kinds(self) -> DataFrame:
+        """(file, name, kind, n): how many values each file has of each kind under each name, in columns and rescued; a field of
+        mixed kinds has several rows, where schemas go by the most frequent one. One pass, combined before it is shuffled."""
+        counts = [F.count(f"`{c}`").alias(f"c{i}") for i, c in enumerate(self.columns)]
+        held = self.df.filter(F.col(self.file).isNotNull()).groupBy(F.col(self.file).alias("file")).agg(*counts)
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.lit(k).alias("kind"), F.col(f"c{i}").alias("n")) for i, (c, k) in enumerate(self.columns.items())]))
+        held = held.select("file", each.alias("x")).select("file", "x.*").filter("n > 0")
+        rest = self._extra(self.df).groupBy("file", "name", F.schema_of_variant("value").alias("raw")).agg(F.count("*").alias("n"))
+        return held.unionByName(rest.select("file", "name", _class_of_json(F.col("raw")).alias("kind"), "n")).groupBy("file", "name", "kind").agg(F.sum("n").alias("n"))
+
     def schemas(self) -> list[tuple[str, Node]]:
         """(file, schema tree) in order of arrival.
 
@@ -321,17 +395,10 @@ class LandedTable:
         a file has names that no column spells, and columns without values, are profiles taken, of these
         names and columns alone.
         """
-        counts = [F.count(f"`{c}`").alias(f"c{i}") for i, c in enumerate(self.columns)]
-        order = self.df.filter(F.col(self.file).isNotNull()).groupBy(F.col(self.file).alias("file")).agg(F.min(self.arrived).alias("a"), *counts).orderBy("a", "file").collect()
+        order = self.df.filter(F.col(self.file).isNotNull()).groupBy(F.col(self.file).alias("file")).agg(F.min(self.arrived).alias("a")).orderBy("a", "file").collect()
         kinds: dict[str, dict[str, dict[str, int]]] = {r.file: {} for r in order}
-        for r in order:
-            for i, (c, k) in enumerate(self.columns.items()):
-                if r[f"c{i}"]:
-                    kinds[r.file][c] = {k: r[f"c{i}"]}
-        found = self._extra(self.df).groupBy("file", "name", F.schema_of_variant("value").alias("raw")).agg(F.count("*").alias("n"))
-        for r in found.groupBy("file", "name", _class_of_json(F.col("raw")).alias("kind")).agg(F.sum("n").alias("n")).collect():
-            own = kinds[r.file].setdefault(r.name, {})
-            own[r.kind] = own.get(r.kind, 0) + r.n
+        for r in self.kinds().collect():  # a row per file, field and kind
+            kinds[r.file].setdefault(r.name, {})[r.kind] = r.n
         known = {plain(c) for c in self.columns}
         unknown, empty = set(), set()
         for own in kinds.values():
@@ -381,46 +448,41 @@ class LandedTable:
         return out
 
     def changes(self) -> list[tuple[str, str, str, str, str]]:
-        """(file, field, change, before, after) of each file against the file before."""
-        out, before = [], None
-        for file, now in self.resolve(self.schemas()):
+        """(file, field, change, before, after) of each file against the file before, from the edit script between the two.
+        A field goes by the name of its tracked column, or by its own if it has none."""
+        schemas = self.schemas()
+        out, before, called = [], None, {}
+        for (file, tree), (_, fields) in zip(schemas, self.resolve(schemas)):
+            now = {n.name: f if f in self.columns else n.name for f, n in fields.items()}
             if before is not None:
-                for f in sorted({*before, *now}):
-                    a, b = before.get(f), now.get(f)
-                    if a is None or b is None:
-                        n = b or a
-                        own = f if f in self.columns else n.name
-                        out.append((file, own, "removed" if b is None else "added", a.name if a else None, b.name if b else None))
-                        continue
-                    own = f if f in self.columns else b.name
-                    if a.name != b.name:
-                        out.append((file, own, "renamed", a.name, b.name))
-                    if a.kind != b.kind:
-                        out.append((file, own, "retyped", a.kind, b.kind))
-            before = now
+                kinds = {n.name: n.kind for n in before.children}
+                for e in edit_script(Node("", "struct", before.children), Node("", "struct", tree.children)):
+                    old, new = (p[0] if p else None for p in (e.path, e.to))
+                    if e.op == "delete":
+                        out.append((file, called[old], "removed", old, None))
+                    elif e.op == "add":
+                        out.append((file, now[new], "added", None, new))
+                    elif e.op == "rename":
+                        out.append((file, now[new], "renamed", old, new))
+                    else:
+                        out.append((file, now[new], "retyped", kinds[old], e.kind))
+            before, called = tree, now
         return out
 
     def unified(self) -> DataFrame:
         """One consistent table: every tracked column under its name and type, from the column or, where it is
         null, from the rescued value under the file's spelling; then one text column per further field. Values
-        that cannot be read as the tracked type are null."""
+        that cannot be read as the tracked type are null.
+
+        The scripts compile to a table with one row per file, what it calls each field, which is joined to the
+        rows; so the plan has the same size for any number of files, and the table is scanned once.
+        """
         resolved = self.resolve(self.schemas())
-        spelled: dict[str, list[str]] = {}
-        for _, fields in resolved:
-            for f, n in fields.items():
-                names = spelled.setdefault(f, [])
-                if n.name not in names:
-                    names.append(n.name)
-        per_file = {file: {f: n.name for f, n in fields.items()} for file, fields in resolved}
+        every = list(dict.fromkeys(f for _, fields in resolved for f in fields))
+        spelled = [(file, {f: n.name for f, n in fields.items()}) for file, fields in resolved]
+        names = bounded_broadcast(self.df.sparkSession.createDataFrame(spelled, "_file string, _names map<string,string>"))
         types = dict(self.df.dtypes)
-
-        def read(f: str) -> Column:
-            """The value under the spelling that this row's file uses for the field."""
-            of = F.lit(None).cast("string")
-            for name in spelled.get(f, []):
-                files = [x for x, m in per_file.items() if m.get(f) == name]
-                of = F.when(F.col(self.file).isin(*files), F.col("_rest")[name].cast("string")).otherwise(of)
-            return of
+        read = lambda f: F.col("_rest")[F.col("_names")[f]].cast("string")
 
         def typed(c: str) -> Column:
             t, v = types[c], read(c)
@@ -433,7 +495,7 @@ class LandedTable:
                 v = v.try_cast(t)
             return F.coalesce(F.col(f"`{c}`"), v).alias(c)
 
-        base = self.df.withColumn("_rest", F.from_json(self.rescued, "map<string,variant>"))
+        base = self.df.withColumn("_rest", F.from_json(self.rescued, "map<string,variant>")).join(names, F.col(self.file) == F.col("_file"), "left")
         base = base.withColumns({f"_r_{c}": read(c) for c in self.columns if types[c].startswith("timestamp")})
-        more = [f for f in spelled if f not in self.columns]
+        more = [f for f in every if f not in self.columns]
         return base.select(*[typed(c) for c in self.columns], *[read(f).alias(f) for f in sorted(more)], self.file, self.arrived)

@@ -102,12 +102,17 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "source_file string, field_name string, change_kind string").distinct()
 
 
+def p6_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Values per file, field and kind: mixed kinds in one file show here."""
+    return landed(spark, d).kinds()
+
+
 def p6_unified(spark: SparkSession, d: str) -> DataFrame:
     return landed(spark, d).unified()
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_enriched, p2_found, p2_counts, p3_found, p3_history, p3_changes,
-                                   p5_found, p5_flags, p6_found, p6_unified)}
+                                   p5_found, p5_flags, p6_found, p6_kinds, p6_unified)}
 
 _SEGMENT = """z AS (SELECT DISTINCT zone_key, zone_id, effective_from f, effective_to t FROM dim_zone WHERE zone_id IS NOT NULL AND effective_from IS NOT NULL)"""
 _VALID = """v AS (SELECT trip_id, pickup_ts, zone_id, arg_max(zone_key, (f, zone_key)) zone_key
@@ -135,7 +140,36 @@ _ORPHANS = """d AS (SELECT 'pickup_zone_id' ref_field, zone_id id, effective_fro
  orphans AS (SELECT DISTINCT trip_id, ref_field, CAST(year(pickup_ts) * 100 + month(pickup_ts) AS INTEGER) AS month,
   CASE WHEN n = 0 THEN 'missing' WHEN pickup_ts < first THEN 'later' ELSE 'deleted' END orphan_kind FROM k WHERE n = 0 OR (pickup_ts IS NOT NULL AND valid = 0))"""
 
+_RAW = {"record_id": "integer", "meter_id": "text", "vendorid": "integer", "tpep_pickup_datetime": "timestamp", "tpep_dropoff_datetime": "timestamp", "passenger_count": "integer",
+        "trip_distance": "decimal", "ratecodeid": "integer", "store_and_fwd_flag": "text", "pulocationid": "integer", "dolocationid": "integer", "payment_type": "integer", "fare_amount": "decimal",
+        "extra": "decimal", "mta_tax": "decimal", "tip_amount": "decimal", "tolls_amount": "decimal", "improvement_surcharge": "decimal", "total_amount": "decimal",
+        "congestion_surcharge": "decimal", "airport_fee": "decimal"}
+_KINDS = f"""j AS (SELECT _source_file f, _rescued_data r, unnest(json_keys(_rescued_data)) k FROM yellow_trips_raw WHERE _source_file IS NOT NULL AND json_valid(_rescued_data)),
+ x AS (SELECT f, k AS name, json_type(r, '$."' || k || '"') t, json_extract_string(r, '$."' || k || '"') v FROM j WHERE k <> '_file_path'),
+ held AS (SELECT f, unnest([{", ".join(f"'{c}'" for c in _RAW)}]) AS name, unnest([{", ".join(f"'{k}'" for k in _RAW.values())}]) AS kind, unnest([{", ".join(f"CAST({c} AS VARCHAR)" for c in _RAW)}]) v
+  FROM (SELECT *, _source_file f FROM yellow_trips_raw WHERE _source_file IS NOT NULL)),
+ vals AS (SELECT f, name, kind, v FROM held WHERE v IS NOT NULL UNION ALL SELECT f, name, CASE WHEN t IN ('UBIGINT', 'BIGINT') THEN 'integer' WHEN t = 'DOUBLE' THEN 'decimal' WHEN t = 'VARCHAR' THEN 'text' ELSE lower(t) END, v FROM x WHERE t <> 'NULL'),
+ kinds AS (SELECT f AS file, name, kind, count(*) AS n FROM vals GROUP BY ALL)"""
+#: Changes of consecutive files; a strange name is the column, empty in its file, whose values in other files are spread most alike.
+_DRIFT = f"""{_KINDS}, plain AS (SELECT DISTINCT file, name, lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) pn FROM kinds),
+ cols AS (SELECT c, regexp_replace(c, '[^a-z0-9]', '', 'g') pn FROM (SELECT unnest([{", ".join(f"'{c}'" for c in _RAW)}]) c)),
+ strange AS (SELECT file, name FROM plain WHERE pn NOT IN (SELECT pn FROM cols)),
+ free AS (SELECT s.file, s.name, c FROM strange s CROSS JOIN cols WHERE NOT EXISTS (SELECT 1 FROM plain p WHERE p.file = s.file AND p.pn = cols.pn)),
+ cells AS (SELECT f, name, CASE WHEN regexp_matches(v, '\\d\\d:\\d\\d:\\d\\d') THEN 'h' WHEN TRY_CAST(v AS DOUBLE) = 0 THEN '0' WHEN TRY_CAST(v AS DOUBLE) IS NOT NULL THEN CASE WHEN CAST(v AS DOUBLE) < 0 THEN 'n' ELSE 'p' END || CAST(round(ln(abs(CAST(v AS DOUBLE))) / ln(1.05)) AS VARCHAR) ELSE 't' || lower(trim(v)) END cell FROM vals),
+ many AS (SELECT f, name, cell, count(*) n FROM cells GROUP BY f, name, cell), spread AS (SELECT f, name, cell, n / sum(n) OVER (PARTITION BY f, name) sh FROM many),
+ held_in AS (SELECT name, count(DISTINCT f) files FROM spread GROUP BY name), pool AS (SELECT name c, cell, sum(sh) / any_value(files) sh FROM spread JOIN held_in USING (name) WHERE name IN (SELECT c FROM cols) GROUP BY name, cell),
+ likeness AS (SELECT free.file, free.name, free.c, sum(least(a.sh, b.sh)) l FROM free JOIN spread a ON a.f = free.file AND a.name = free.name JOIN pool b ON b.c = free.c AND b.cell = a.cell GROUP BY ALL),
+ found AS (SELECT file, name, arg_max(c, l) c FROM likeness WHERE l > 0.6 GROUP BY file, name),
+ main AS (SELECT file, name, arg_max(kind, n) kind FROM kinds GROUP BY file, name),
+ fields AS (SELECT m.file, coalesce(found.c, cols.c, m.name) field, m.name, m.kind FROM main m LEFT JOIN found USING (file, name) LEFT JOIN cols ON cols.pn = lower(regexp_replace(m.name, '[^A-Za-z0-9]', '', 'g'))),
+ files AS (SELECT _source_file file, row_number() OVER (ORDER BY min(_ingested_at), _source_file) no FROM yellow_trips_raw WHERE _source_file IS NOT NULL GROUP BY 1),
+ now AS (SELECT no, files.file, field, name, kind FROM fields JOIN files USING (file)),
+ both_ AS (SELECT f.file, coalesce(a.field, b.field) field, a.name an, b.name bn, a.kind ak, b.kind bk FROM now a FULL JOIN now b ON b.no = a.no + 1 AND a.field = b.field JOIN files f ON f.no = coalesce(b.no, a.no + 1))
+SELECT file AS source_file, field AS field_name, change_kind FROM (SELECT *, unnest([CASE WHEN an IS NULL THEN 'added' WHEN bn IS NULL THEN 'removed' WHEN an <> bn THEN 'renamed' END, CASE WHEN ak <> bk THEN 'retyped' END]) change_kind FROM both_) WHERE change_kind IS NOT NULL AND file <> (SELECT file FROM files WHERE no = 1)"""
+
 ORACLE = {
+    "p6_kinds": f"WITH {_KINDS} SELECT * FROM kinds",
+    "p6_found": f"WITH {_DRIFT}",
     "p1_found": f"WITH {_SEGMENT}, {_VALID}, w AS (SELECT zone_id, arg_max(zone_key, (f, zone_key)) newest FROM z GROUP BY zone_id) SELECT DISTINCT trip_id, zone_key FROM v JOIN w USING (zone_id) WHERE zone_key <> newest",
     "p1_enriched": f"""WITH {_SEGMENT}, {_VALID}, a AS (SELECT DISTINCT zone_key, borough, zone_name, service_zone FROM dim_zone)
 SELECT r.trip_id, r.pickup_ts, r.pickup_zone_id, v.zone_key, a.borough, a.zone_name, a.service_zone FROM fact_trips r

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millrace.operators.drift import schemas_of
+
 
 def csv_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with a header, every column as text, stamped with the load time."""
@@ -53,11 +55,11 @@ def read_rescued(spark: SparkSession, paths: list[str], tracked: StructType, res
     """Parquet files of differing schemas as one frame of the tracked schema.
 
     Files are grouped by schema, and each group is one scan, so the number of scans grows with the
-    number of schemas, not of files. Footers are read on the driver, one per file.
+    number of schemas, not of files.
     """
     groups: dict[str, list[str]] = {}
-    for p in paths:
-        groups.setdefault(spark.read.parquet(p).schema.json(), []).append(p)
+    for p, found in zip(paths, schemas_of(spark, paths)):
+        groups.setdefault(found.json(), []).append(p)
     out = None
     for files in groups.values():
         df = spark.read.parquet(*files).withColumns({"_source_file": F.col("_metadata.file_name"), "_file_path": F.col("_metadata.file_path")})

@@ -1,8 +1,12 @@
 import json
+import math
+import random
 
+import pytest
 from conftest import rows
 from pyspark.sql.types import _parse_datatype_string as schema
 
+from millrace.operators import drift
 from millrace.operators.drift import LandedTable, Node, assign, compile_projection, edit_script, tree_of
 
 
@@ -33,6 +37,60 @@ def test_scripts(spark):
     assert script("p struct<q:struct<r:int>>", "p struct<q:struct<r:int,s:int>>") == [("add", (), ("p", "q", "s"))]
 
 
+def test_scripts_with_moves_are_least(spark):
+    """A move of the one and a rename of the other is dearer than two moves here, whatever comes first."""
+    assert script("a struct<x:int>, b struct<y:int>", "a struct<y:int>, b struct<x:int>") == [("move", ("a", "x"), ("b", "x")), ("move", ("b", "y"), ("a", "y"))]
+    assert script("a struct<lat:int,lon:int>, z int", "geo struct<lat:int,lon:int>, z int") in (
+        [("add", (), ("geo",)), ("delete", ("a",), ()), ("move", ("a", "lat"), ("geo", "lat")), ("move", ("a", "lon"), ("geo", "lon"))],
+        [("delete", ("a",), ()), ("move", ("a", "lat"), ("geo", "lat")), ("move", ("a", "lon"), ("geo", "lon")), ("add", (), ("geo",))])
+    assert script("s struct<p:struct<q:int>>, t struct<u:int>", "s struct<v:string>, t struct<u:int,p:struct<q:int>>") == [
+        ("move", ("s", "p"), ("t", "p")), ("add", (), ("s", "v"))]
+
+
+def brute_cost(a, b):
+    """Least cost over every partial matching of all nodes."""
+    x, y = drift._Forest(a), drift._Forest(b)
+
+    def rest(i, taken):
+        if i == len(x.nodes):
+            keep = dict(taken)
+            c = drift.DELETE * (len(x.nodes) - len(keep)) + drift.ADD * (len(y.nodes) - len(keep))
+            return c + sum(drift._cost(x.nodes[p], y.nodes[q]) + (0 if keep.get(x.parent[p]) == y.parent[q] else drift.MOVE) for p, q in keep.items() if p)
+        best = rest(i + 1, taken)
+        for j in range(1, len(y.nodes)):
+            if j not in dict(taken).values() and drift._cost(x.nodes[i], y.nodes[j]) < math.inf:
+                best = min(best, rest(i + 1, [*taken, (i, j)]))
+        return best
+
+    return rest(1, [(0, 0)])
+
+
+@pytest.mark.parametrize("most", [2000, 0])
+def test_least_cost_against_brute_force(monkeypatch, most):
+    monkeypatch.setattr(drift, "MATCHINGS", most)
+    rng = random.Random(8)
+
+    def tree(depth):
+        names = rng.sample(["alpha", "Alpha", "beta", "gamma", "gama", "delta"], rng.randrange(1, 4))
+        return [Node(n, "struct", tree(depth - 1)) if depth and rng.random() < 0.4 else Node(n, rng.choice(["integer", "text"])) for n in names]
+
+    same = 0
+    for _ in range(60):
+        a, b = (Node("", "struct", tree(1)) for _ in range(2))
+        if len(drift._Forest(a).nodes) * len(drift._Forest(b).nodes) > 40:
+            continue
+        got, want = drift.least_edits(a, b)[0], brute_cost(a, b)
+        assert got >= want - 1e-9 and (most == 0 or got <= want + drift.MOVE)
+        same += abs(got - want) < 1e-9
+    assert same >= (40 if most else 30)
+
+
+def test_mixed_kinds_are_all_reported(frame):
+    data = [(1, "2023-01-01 00:00:00", "f1", json.dumps({"x": 1})), (2, "2023-01-01 00:00:00", "f1", json.dumps({"x": "one"})), (None, "2023-01-01 00:00:00", "f1", json.dumps({"x": 2, "y": None}))]
+    t = LandedTable(frame(data, "a int, _in timestamp_ntz, _f string, _r string"), "_f", "_in", "_r")
+    assert rows(t.kinds()) == [("f1", "a", "integer", 2), ("f1", "x", "integer", 2), ("f1", "x", "text", 1)]
+
+
 def test_profiles_name_a_renamed_field():
     zone = {str(i): 0.1 for i in range(10)}
     old = Node("", children=[Node("pulocationid", "integer", [], zone), Node("airport_fee", "decimal", [], {"0": 0.95, "p1": 0.05})])
