@@ -76,6 +76,7 @@ def mart_daily(fact: DataFrame, zones: DataFrame, rounding: str = "half_up") ->
 def mart_monthly(fact: DataFrame, rounding: str = "half_up") -> DataFrame:
     """Key figures per month; avg_fare is the mean of the total amount."""
     rnd = ROUNDINGS[rounding]
-    return fact.withColumn("month", F.expr("date_key div 100")).groupBy("month").agg(
+    month = F.floor(F.col("date_key") / 100).alias("month")
+    return fact.groupBy(month).agg(
         F.count("*").alias("trips"), rnd(money("total_amount")).alias("revenue"), rnd(mean("total_amount")).alias("avg_fare"),
         rnd(mean("tip_pct")).alias("avg_tip_pct"), F.countDistinct("pickup_zone_id").alias("active_pickup_zones"))

@@ -7,26 +7,29 @@ import os
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from millrace.config import LAYERS, Settings, parse_flag
 from millrace.operators import gold, silver
-from millrace.operators.merge import unprocessed
+from millrace.operators.drift import LandedTable
+from millrace.operators.merge import new_rows, unprocessed
 from millrace.operators.scd2 import scd2_apply
 from millrace.ops.audit import RUNS, RUNS_SCHEMA, AuditLog, audited
 from millrace.quality import recon
 from millrace.quality.rules import RESULT_SCHEMA, Evaluator, load_rules, run_checks
 from millrace.session import build_session
 from millrace.sources.files import csv_snapshot
+from millrace.sources.fs import Files
 from millrace.sources.lander import MANIFEST, MANIFEST_SCHEMA, land_month, land_reference
-from millrace.store import Store
+from millrace.store import Store, near
 from millrace.streaming.arrivals import load_new_files
 
+# Names of tables, stages and metrics are fixed values: other jobs read them.
 BRONZE, ZONES = "bronze.yellow_trips_raw", "bronze.taxi_zone_lookup"
 CLEAN, QUARANTINE = "silver.yellow_trips", "silver.yellow_trips_quarantine"
-ARRIVED, FILES = "ops.bronze_files", "ops.processed_files"
+ARRIVED, FILES, MERGED = "ops.bronze_files", "ops.processed_files", "ops.fact_batches"
 FACT, DAILY, MONTHLY = "gold.fact_trips", "gold.agg_daily_zone_revenue", "gold.agg_monthly_kpis"
 DQ, RECON = "ops.dq_results", "ops.recon_results"
 RECON_SCHEMA = "run_id string, env string, check_name string, scope string, source_value double, target_value double, difference double, passed boolean, checked_at timestamp_ntz"
@@ -36,19 +39,17 @@ RULES = os.path.join(os.path.dirname(__file__), "..", "..", "conf", "dq_rules.ym
 class Pipeline:
     """One run. `now` is the time of all its results and versions; `sources` gives a month's file, `zones` the zone lookup."""
 
-    def __init__(self, spark: SparkSession, settings: Settings, sources: Callable[[str], str] | None = None, now: str | None = None, rules: str = RULES, tracked: StructType | None = None, zones: str | None = None):
+    def __init__(self, spark: SparkSession, settings: Settings, sources: Callable[[str], str] | None = None, now: str | None = None, rules: str = RULES, tracked: StructType | None = None, zones: str | None = None, fail_on_mismatch: bool = True):
         self.spark, self.settings, self.sources, self.rules, self.zones = spark, settings, sources, rules, zones
-        self.store = Store(spark, settings.tables)
+        self.store, self.files = Store(spark, settings.tables), Files(spark)
         self.log = AuditLog(self.store, settings)
         self.now = now or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-        self.tracked = tracked
+        self.tracked, self.fail_on_mismatch = tracked, fail_on_mismatch
 
     def setup(self) -> None:
         """Folders and the four ops tables; does nothing where they are."""
-        for layer in LAYERS:
-            os.makedirs(f"{self.settings.tables}/{layer}", exist_ok=True)
-        for d in (self.settings.landing, self.settings.landing_zones, self.settings.checkpoints):
-            os.makedirs(d, exist_ok=True)
+        for d in (*(f"{self.settings.tables}/{layer}" for layer in LAYERS), self.settings.landing, self.settings.landing_zones, self.settings.checkpoints):
+            self.files.make(d)
         for name, ddl in ((RUNS, RUNS_SCHEMA), (DQ, RESULT_SCHEMA), (RECON, RECON_SCHEMA), (MANIFEST, MANIFEST_SCHEMA)):
             self.store.create(name, ddl)
 
@@ -56,7 +57,7 @@ class Pipeline:
 
     def ingest_landing(self) -> dict:
         if self.zones:
-            land_reference(self.settings.landing_zones, self.zones)
+            land_reference(self.spark, self.settings.landing_zones, self.zones)
         if not self.sources or not self.settings.run_month:
             return {"skipped": True, "reason": "no source"}
         month = self.settings.run_month
@@ -64,7 +65,7 @@ class Pipeline:
 
     def bronze(self) -> dict:
         if self.tracked is None:  # the schema tracked since the first landing file
-            first = sorted(f for f in os.listdir(self.settings.landing) if f.endswith(".parquet"))
+            first = [f for f in self.files.names(self.settings.landing) if f.endswith(".parquet")]
             if not first:
                 return {"bronze_trips_total": 0, "bronze_zones": 0}
             if self.store.exists(BRONZE):
@@ -74,7 +75,7 @@ class Pipeline:
                 self.tracked = self.spark.read.parquet(f"{self.settings.landing}/{first[0]}").schema
         total = load_new_files(self.spark, self.store, self.settings.landing, BRONZE, self.tracked, f"{self.settings.checkpoints}/bronze", files=ARRIVED)
         zones = 0
-        if any(f.endswith(".csv") for f in os.listdir(self.settings.landing_zones)):
+        if any(f.endswith(".csv") for f in self.files.names(self.settings.landing_zones)):
             self.store.overwrite(ZONES, csv_snapshot(self.spark, self.settings.landing_zones))
             zones = self.store.count(ZONES)
         return {"bronze_trips_total": total, "bronze_zones": zones}
@@ -103,7 +104,7 @@ class Pipeline:
             raw = raw.filter(F.col("_source_file").isin(names))
         file_list = self.spark.createDataFrame([(n,) for n in names], "_source_file string")
         stage = "silver.stage"
-        self.store.overwrite(stage, silver.silver_columns(silver.tagged(raw), "dq_violations"))
+        self.store.overwrite(stage, silver.silver_columns(silver.tagged(self._recovered(raw)), "dq_violations"))
         tagged = self.store.read(stage)
         clean, bad = silver.split(tagged)
         if full:
@@ -111,13 +112,23 @@ class Pipeline:
             self.store.overwrite(QUARANTINE, bad)
             self.store.overwrite(FILES, file_list)
         else:
-            self.store.merge_insert(CLEAN, clean, ["trip_hash"], self.settings.run_id, "pickup_date")
-            self.store.merge_insert(QUARANTINE, bad, ["trip_hash"], self.settings.run_id, "pickup_date")
+            # the first stored row of a key holds, in whichever of the two tables it stands
+            days, run = near(tagged, "pickup_date"), self.settings.run_id
+            held = {t: self.store.read(t).filter(days).select("trip_hash") for t in (CLEAN, QUARANTINE)}
+            bad = new_rows(held[CLEAN], bad, ["trip_hash"])
+            self.store.merge_insert(CLEAN, new_rows(held[QUARANTINE], clean, ["trip_hash"]), ["trip_hash"], run, "pickup_date")
+            self.store.merge_insert(QUARANTINE, bad, ["trip_hash"], run, "pickup_date")
             self.store.append(FILES, file_list, self.settings.run_id)
         n = tagged.agg(F.count("*").alias("n"), F.count_if(F.size("dq_violations") == 0).alias("c")).first()
         self.store.vacuum(stage, 1)
         return {"rows_in": raw.count(), "rows_clean": n.c, "rows_quarantined": n.n - n.c, "skipped": False}
 
+    def _recovered(self, raw: DataFrame) -> DataFrame:
+        """Bronze rows with what was rescued put back into the column it belongs to, whatever the file calls it."""
+        if "_rescued_data" not in raw.columns or raw.filter("_rescued_data IS NOT NULL").isEmpty():
+            return raw
+        return LandedTable(raw, "_source_file", "_ingested_at", "_rescued_data").unified()
+
     def dimensions(self) -> dict:
         bounds = gold.date_bounds(self.store.read(CLEAN))
         days = 0
@@ -138,13 +149,20 @@ class Pipeline:
         return {"dim_date_rows": days, "dim_zone_scd2": zones}
 
     def fact(self) -> dict:
-        rows = gold.build_fact(self.store.read(CLEAN))
-        if self.settings.full_refresh or not self.store.exists(FACT):
-            self.store.overwrite(FACT, rows, ["date_key"])
-            mode = "full"
+        """Adds the clean batches that are not in the fact yet; everything on a full refresh, or if the clean table was written anew."""
+        there = self.store.batches(CLEAN)
+        done = {r[0] for r in self.store.read(MERGED).collect()} if self.store.exists(MERGED) and self.store.exists(FACT) else set()  # batch names
+        new = [b for b in there if b not in done]
+        if self.settings.full_refresh or not done or any(b.endswith("/base") for b in new):
+            self.store.overwrite(FACT, gold.build_fact(self.store.read(CLEAN)), ["date_key"])
+            mode, new = "full", there
         else:
-            self.store.merge_insert(FACT, rows, ["trip_hash"], self.settings.run_id, "date_key")
             mode = "incremental_merge"
+            for b in new:
+                rows = self.store.read_batch(CLEAN, b.split("/", 1)[1])
+                self.store.merge_insert(FACT, gold.build_fact(rows), ["trip_hash"], b.replace("/", "-"), "date_key")
+        if new:
+            self.store.append(MERGED, self.spark.createDataFrame([(b,) for b in new], "batch string"), self.settings.run_id)
         return {"mode": mode, "rows": self.store.count(FACT)}
 
     def aggregates(self) -> dict:
@@ -159,11 +177,12 @@ class Pipeline:
 
     def reconciliation(self) -> dict:
         read = self.store.read
-        checks = [recon.source_vs_bronze(read(MANIFEST), read(BRONZE)), recon.bronze_vs_silver(read(BRONZE), read(CLEAN), read(QUARANTINE)),
+        checks = [recon.source_vs_bronze(read(MANIFEST), read(BRONZE)), recon.bronze_vs_silver(self._recovered(read(BRONZE)), read(CLEAN), read(QUARANTINE)),
+                  recon.clean_and_quarantined(read(CLEAN), read(QUARANTINE)),
                   recon.rows_equal(read(CLEAN), read(FACT)), recon.amounts_equal(read(CLEAN), read(FACT)), recon.fact_vs_mart(read(FACT), read(DAILY))]
         if not self.store.count(MANIFEST):  # files were put into the folder by hand
             checks = checks[1:]
-        return recon.run_recon(checks, self.settings.run_id, self.settings.env, self.now, lambda df: self.store.append(RECON, df))
+        return recon.run_recon(checks, self.settings.run_id, self.settings.env, self.now, lambda df: self.store.append(RECON, df), self.fail_on_mismatch)
 
     def stages(self) -> list[tuple[str, Callable[[], dict]]]:
         return [("ingest_landing", self.ingest_landing), ("bronze_autoload", self.bronze), ("dq_bronze", lambda: self.dq("bronze")),

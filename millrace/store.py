@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -35,6 +35,29 @@ def merged(have: StructType, more: StructType) -> StructType:
     return out
 
 
+#: Ranges in which the values of a stage are summed up at most, and values beyond which they are not looked at one by one.
+MOST_RANGES, MOST_VALUES = 32, 100_000
+
+
+def near(stage: DataFrame, column: str) -> Column:
+    """A condition on a column (dates or whole numbers) that holds for every value that the stage has: a few ranges, which scans
+    can skip by; null if the stage has nulls."""
+    values = [r[0] for r in stage.select(column).distinct().limit(MOST_VALUES + 1).collect()]
+    c, out = F.col(column), F.lit(False)
+    if None in values:
+        out = c.isNull()
+    known = sorted(v for v in values if v is not None)
+    if len(values) > MOST_VALUES:
+        return F.lit(True)
+    number = (lambda v: v.toordinal()) if known and hasattr(known[0], "toordinal") else (lambda v: v)
+    wide = sorted(sorted(range(1, len(known)), key=lambda i: number(known[i - 1]) - number(known[i]))[: MOST_RANGES - 1])
+    breaks = [i for i in wide if number(known[i]) - number(known[i - 1]) > 1]
+    for i, j in zip([0, *breaks], [*breaks, len(known)]):
+        if i < j:
+            out = out | c.between(F.lit(known[i]), F.lit(known[j - 1]))
+    return out
+
+
 class Store:
     """Tables named `layer.table` under one root folder."""
 
@@ -130,19 +153,20 @@ class Store:
     def merge_insert(self, name: str, stage: DataFrame, key: list[str], batch: str | None = None, within: str | None = None) -> None:
         """Appends the stage's rows whose key is new. The stage must not repeat a key.
 
-        `within` names a column that the key determines (a date of a time in the key): only target
-        rows in the stage's range of it are compared, so with a clustered target the merge reads the
-        stage's days and not the table.
+        `within` names a column that the key determines (a date of a time in the key, or its number): only target
+        rows with a value that the stage has, or near one, are compared, so with a clustered target the merge reads
+        the stage's days and not the table, also where a few rows with a wrong clock lie years off.
         """
         require_unique(stage, key)
         if not self.exists(name):
             return self.append(name, stage, batch)
         target = self.read(name)
-        if within:
-            r = stage.agg(F.min(within).alias("lo"), F.max(within).alias("hi")).first()
-            own = F.col(within).isNull()
-            target = target.filter(own | F.col(within).between(F.lit(r.lo), F.lit(r.hi)) if r.lo is not None else own)
-        return self.append(name, new_rows(target, stage, key), batch)
+        return self.append(name, new_rows(target.filter(near(stage, within)) if within else target, stage, key), batch)
+
+    def batches(self, name: str) -> list[str]:
+        """What the current version was made of: `base` and the appended batches, each as version/batch."""
+        v = self.version(name)
+        return [f"{v}/{x.removeprefix('b-')}" for x in self._names(f"{self._dir(name)}/v{v}")]
 
     def restore(self, name: str, version: int) -> None:
         if version not in self.versions(name):

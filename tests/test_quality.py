@@ -39,7 +39,7 @@ def test_loader(tmp_path):
     import os
 
     rules = load_rules(os.path.join(os.path.dirname(__file__), "..", "conf", "dq_rules.yml"))
-    assert len(rules) == 10 and len(load_rules(os.path.join(os.path.dirname(__file__), "..", "conf", "dq_rules.yml"), "silver")) == 7
+    assert len(rules) == 13 and len(load_rules(os.path.join(os.path.dirname(__file__), "..", "conf", "dq_rules.yml"), "silver")) == 9
     with pytest.raises(ValueError):
         DQRule.of(dict(name="x", table="t", type="magic"))
     with pytest.raises(ValueError):

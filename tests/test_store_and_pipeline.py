@@ -12,8 +12,9 @@ from millrace.config import Settings, parse_flag
 from millrace.ops.audit import RUNS, AuditLog, audited
 from millrace.ops.runner import BRONZE, CLEAN, DAILY, FACT, QUARANTINE, Pipeline
 from millrace.sources.files import count_rows, csv_snapshot, read_rescued
+from millrace.sources.fs import Files
 from millrace.sources.lander import fetch, land_month
-from millrace.store import SchemaConflict, Store
+from millrace.store import SchemaConflict, Store, near
 from millrace.streaming.arrivals import load_new_files
 
 
@@ -46,21 +47,24 @@ def test_store_versions(store, frame):
     assert store.count("gold.t") == 5
 
 
-def test_fetch_retries_and_leaves_no_half_file(tmp_path):
+def test_fetch_retries_and_leaves_no_half_file(spark, tmp_path):
     src = tmp_path / "src"
-    src.write_bytes(b"abc")
+    src.write_bytes(b"abc" * 1000)
     calls = []
 
-    def flaky(s):
+    def flaky(files, s):
         calls.append(s)
+        yield b"ab"
         if len(calls) < 3:
             raise OSError("down")
-        return open(s, "rb")
 
-    assert fetch(str(src), str(tmp_path / "out/x"), pause=0, opener=flaky) == 3 and len(calls) == 3
+    files = Files(spark)
+    assert fetch(files, str(src), str(tmp_path / "out/x"), pause=0, blocks=flaky) == 2 and len(calls) == 3
+    assert fetch(files, str(src), str(tmp_path / "out/y")) == 3000 and (tmp_path / "out/y").read_bytes() == src.read_bytes()
+    assert fetch(files, src.as_uri(), str(tmp_path / "out/y")) == 3000
     with pytest.raises(RuntimeError):
-        fetch(str(tmp_path / "absent"), str(tmp_path / "out/y"), pause=0)
-    assert os.listdir(tmp_path / "out") == ["x"]
+        fetch(files, str(tmp_path / "absent"), str(tmp_path / "out/z"), pause=0)
+    assert files.names(str(tmp_path / "out")) == ["x", "y"] or sorted(f for f in os.listdir(tmp_path / "out") if not f.startswith(".")) == ["x", "y"]
 
 
 def test_landing_is_idempotent(spark, store, tmp_path, frame):
@@ -168,6 +172,40 @@ def test_merge_reads_only_the_range_of_the_stage(store, frame):
     assert store.count("t.x") == 4
 
 
+def test_a_wrong_clock_does_not_widen_the_merge(store, frame):
+    ddl = "k string, d date, n int"
+    days = [("a", "2024-01-05", 1), ("b", "2024-01-06", 1), ("c", "2091-03-01", 1)]
+    t = frame([("x", "2024-01-05", 1), ("y", "2030-01-01", 1), ("z", "2091-03-01", 1), ("n", None, 1)], ddl)
+    assert rows(t.filter(near(frame(days, ddl), "d")), "k") == [("x",), ("z",)]
+    assert rows(t.filter(near(frame([*days, ("d", None, 1)], ddl), "d")), "k") == [("n",), ("x",), ("z",)]
+    assert t.filter(near(frame([], ddl), "d")).count() == 0
+    many = frame([(str(i), None, i * 7) for i in range(100)], ddl)
+    assert many.filter(near(many, "n")).count() == 100
+
+
+def test_rescued_values_reach_silver_and_keys_stand_in_one_table(spark, tmp_path, frame):
+    raw = RAW.rsplit(", _ingested_at", 1)[0]
+    one = [trip(VendorID=i % 3, total_amount=10.0 + i)[: len(NAMES) - 2] for i in range(30)]
+    frame(one, raw).coalesce(1).write.parquet(str(tmp_path / "2024-01"))
+    # the next file spells a column differently, gives another as text, and holds ride 0 again, now broken
+    two = [trip(VendorID=i % 3, total_amount=50.0 + i)[: len(NAMES) - 2] for i in range(20)] + [trip(VendorID=0, total_amount=10.0, trip_distance=-1.0)[: len(NAMES) - 2]]
+    df = frame(two, raw).withColumnRenamed("PULocationID", "pulocationid").withColumn("trip_distance", F.col("trip_distance").cast("string"))
+    df.coalesce(1).write.parquet(str(tmp_path / "2024-02"))
+
+    def run(month):
+        source = lambda m: str(next((tmp_path / m).glob("*.parquet")))
+        return Pipeline(spark, Settings(str(tmp_path / "ws"), run_month=month), source, "2024-03-01 00:00:00").run(
+            ["ingest_landing", "bronze_autoload", "silver_transform", "gold_fact", "gold_aggregates", "reconciliation"])
+
+    run("2024-01")
+    got = run("2024-02")
+    assert got["silver_transform"] == {"rows_in": 21, "rows_clean": 20, "rows_quarantined": 1, "skipped": False}
+    assert got["gold_fact"] == {"mode": "incremental_merge", "rows": 50} and got["reconciliation"]["failed"] == 0
+    store = Store(spark, str(tmp_path / "ws/dev/tables"))
+    assert store.count(CLEAN) == 50 and store.count(QUARANTINE) == 0  # ride 0 is clean already
+    assert store.read(CLEAN).filter("pickup_zone_id IS NULL OR trip_distance IS NULL").isEmpty()
+
+
 def test_command_line(spark, tmp_path, frame, capsys):
     from millrace.ops.runner import main
 
