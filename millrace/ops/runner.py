@@ -99,6 +99,10 @@ class Pipeline:
             files = unprocessed(files, self.store.read(FILES))
         names = [r[0] for r in files.collect()]  # names of new files
         if not names:
+            if not self.store.exists(CLEAN):  # nothing has arrived at all
+                none = silver.silver_columns(silver.tagged(raw.limit(0)), "dq_violations")
+                self.store.overwrite(CLEAN, none.drop("dq_violations"))
+                self.store.overwrite(QUARANTINE, none)
             return {"rows_in": 0, "rows_clean": 0, "rows_quarantined": 0, "skipped": True}
         if not full:
             raw = raw.filter(F.col("_source_file").isin(names))
@@ -131,10 +135,8 @@ class Pipeline:
 
     def dimensions(self) -> dict:
         bounds = gold.date_bounds(self.store.read(CLEAN))
-        days = 0
-        if bounds:
-            self.store.overwrite("gold.dim_date", gold.dim_date(self.spark, *bounds))
-            days = self.store.count("gold.dim_date")
+        self.store.overwrite("gold.dim_date", gold.dim_date(self.spark, *(bounds or ("1970-01-02", "1970-01-01"))))  # no day without a ride
+        days = self.store.count("gold.dim_date")
         for name in gold.SEEDS:
             self.store.overwrite(f"gold.{name}", gold.seed(self.spark, name))
         zones = {"inserted": 0, "expired": 0}
@@ -144,7 +146,7 @@ class Pipeline:
             current = self.store.read("gold.dim_zone") if self.store.exists("gold.dim_zone") else None
             change = scd2_apply(current, source, "zone_id", ["borough", "zone_name", "service_zone"], self.now)
             zones = change.counts()
-            if zones["inserted"] or zones["expired"]:
+            if current is None or zones["inserted"] or zones["expired"]:
                 self.store.overwrite("gold.dim_zone", change.dimension)
         return {"dim_date_rows": days, "dim_zone_scd2": zones}
 

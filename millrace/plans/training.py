@@ -93,6 +93,14 @@ def p5_flags(spark: SparkSession, d: str) -> DataFrame:
     return detector().flags(table(spark, d, "yellow_trips"))
 
 
+def p5_impossible(spark: SparkSession, d: str) -> DataFrame:
+    return p5_flags(spark, d).filter("reason = 'impossible'").select("trip_id", "reading")
+
+
+def p5_stuck(spark: SparkSession, d: str) -> DataFrame:
+    return p5_flags(spark, d).filter("reason = 'stuck'").select("trip_id", "reading")
+
+
 def landed(spark: SparkSession, d: str) -> LandedTable:
     return LandedTable(table(spark, d, "yellow_trips_raw"), "_source_file", "_ingested_at", "_rescued_data")
 
@@ -112,7 +120,7 @@ def p6_unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_enriched, p2_found, p2_counts, p3_found, p3_history, p3_changes,
-                                   p5_found, p5_flags, p6_found, p6_kinds, p6_unified)}
+                                   p5_found, p5_flags, p5_impossible, p5_stuck, p6_found, p6_kinds, p6_unified)}
 
 _SEGMENT = """z AS (SELECT DISTINCT zone_key, zone_id, effective_from f, effective_to t FROM dim_zone WHERE zone_id IS NOT NULL AND effective_from IS NOT NULL)"""
 _VALID = """v AS (SELECT trip_id, pickup_ts, zone_id, arg_max(zone_key, (f, zone_key)) zone_key
@@ -166,8 +174,14 @@ _DRIFT = f"""{_KINDS}, plain AS (SELECT DISTINCT file, name, lower(regexp_replac
  now AS (SELECT no, files.file, field, name, kind FROM fields JOIN files USING (file)),
  both_ AS (SELECT f.file, coalesce(a.field, b.field) field, a.name an, b.name bn, a.kind ak, b.kind bk FROM now a FULL JOIN now b ON b.no = a.no + 1 AND a.field = b.field JOIN files f ON f.no = coalesce(b.no, a.no + 1))
 SELECT file AS source_file, field AS field_name, change_kind FROM (SELECT *, unnest([CASE WHEN an IS NULL THEN 'added' WHEN bn IS NULL THEN 'removed' WHEN an <> bn THEN 'renamed' END, CASE WHEN ak <> bk THEN 'retyped' END]) change_kind FROM both_) WHERE change_kind IS NOT NULL AND file <> (SELECT file FROM files WHERE no = 1)"""
+_READINGS = f"""v AS (SELECT trip_id, meter_id, pickup_ts, unnest([{", ".join(f"'{r.name}'" for r in READINGS)}]) AS reading, unnest([{", ".join(r.name for r in READINGS)}]) AS v,
+ unnest([{", ".join(f"{r.highest}" for r in READINGS)}]) AS most FROM (SELECT DISTINCT trip_id, meter_id, pickup_ts, {", ".join(r.name for r in READINGS)} FROM yellow_trips))"""
 
 ORACLE = {
+    "p5_impossible": f"WITH {_READINGS} SELECT DISTINCT trip_id, reading FROM v WHERE isnan(v) OR v < 0 OR v > most",
+    "p5_stuck": f"""WITH {_READINGS}, n AS (SELECT *, CASE WHEN v IS NOT DISTINCT FROM lag(v) OVER w AND v IS NOT NULL THEN 0 ELSE 1 END AS new FROM v WHERE meter_id IS NOT NULL WINDOW w AS (PARTITION BY meter_id, reading ORDER BY pickup_ts NULLS FIRST, trip_id)),
+ g AS (SELECT *, sum(new) OVER (PARTITION BY meter_id, reading ORDER BY pickup_ts NULLS FIRST, trip_id) AS g FROM n)
+SELECT DISTINCT trip_id, reading FROM g QUALIFY count(*) OVER (PARTITION BY meter_id, reading, g) >= 6 AND v IS NOT NULL""",
     "p6_kinds": f"WITH {_KINDS} SELECT * FROM kinds",
     "p6_found": f"WITH {_DRIFT}",
     "p1_found": f"WITH {_SEGMENT}, {_VALID}, w AS (SELECT zone_id, arg_max(zone_key, (f, zone_key)) newest FROM z GROUP BY zone_id) SELECT DISTINCT trip_id, zone_key FROM v JOIN w USING (zone_id) WHERE zone_key <> newest",
