@@ -78,11 +78,11 @@ class ProseModel:
 
 
 def train(stats: DataFrame) -> ProseModel:
-    """Fits on the voted sample without the documents of the holdout."""
+    """Fits on the voted sample without the documents of the holdout; repeated rows count once."""
     held, x, _ = labelled("holdout.csv")
     known = [f"{i}:{int(c)}" for i, c in zip(held, x[:, 0])]
     rows = stats.filter("vote <> 0 AND chars > 0").filter(~F.concat_ws(":", "doc_id", F.col("chars").cast("bigint")).isin(known))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * TRAIN_DOCS).select(*STATS, "vote").toPandas()
+    rows = rows.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).limit(2 * TRAIN_DOCS).select(*STATS, "vote").toPandas()
     return ProseModel(rows[list(STATS)].to_numpy(dtype="float64").reshape(-1, len(STATS)), rows["vote"].to_numpy(dtype="int64"))
 
 
