@@ -26,7 +26,8 @@ class FeedContract:
     lineage: tuple[str, str] = ("_source_file", "_ingested_at")
 
 
-# The trip feed's names and types, its business key and its validity limits.
+# The trip feed's names and types, its business key and its validity limits, and below them the columns of
+# the fact and the trusted table, which readers of these tables rely on.
 TRIP_COLUMNS = {
     "vendor_id": "int", "pickup_ts": "timestamp_ntz", "dropoff_ts": "timestamp_ntz", "passenger_count": "int", "trip_distance": "double",
     "rate_code_id": "int", "store_and_fwd_flag": "string", "pickup_zone_id": "int", "dropoff_zone_id": "int", "payment_type_id": "int",

@@ -85,13 +85,13 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is measured to be small, else df as it is (Catalyst then shuffles).
 
     Small means at most `rows` rows and BROADCAST_MB megabytes, text counted by its length. The
-    measurement reads at most rows + 1 rows; give it a materialised or cheap frame.
+    measurement is one aggregation, combined where the rows are; give it a materialised or cheap frame.
     """
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, (StringType, BinaryType))]
     length = F.lit(0)
     for t in texts:
         length = length + F.coalesce(F.octet_length(F.col(f"`{t}`")), F.lit(0))
-    got = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(length).alias("b")).first()
+    got = df.agg(F.count("*").alias("n"), F.sum(length).alias("b")).first()
     size = got.n * (32 + sum(_width(f.dataType) for f in df.schema.fields)) + (got.b or 0)
     return F.broadcast(df) if got.n <= rows and size <= BROADCAST_MB << 20 else df
 
