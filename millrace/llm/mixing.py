@@ -20,7 +20,8 @@ from millrace.session import Scratch, text_batches
 SIZE_CELLS = 32
 #: Resolutions (cells per factor of e) at which the cut in the ranking is narrowed before rows are ordered.
 RESOLUTIONS = (64, 1 << 13, 1 << 20)
-#: Source names that may have a target; more are refused.
+#: Source names that may have a target; more are refused. Every frame that is broadcast here has one row per target, so this
+#: bounds them all.
 MOST_TARGETS = 10_000
 
 

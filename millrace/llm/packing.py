@@ -2,8 +2,9 @@
 
 Each item goes where the sum of squares of the numbers of open containers per residual gap becomes
 smallest (a new container is one of the choices). Sizes, not texts, are shuffled; items are spread
-over shards of about SHARD_ITEMS by a digest of their id, and every shard is packed by itself, so
-the work is linear and only a shard's last open containers can be poorly filled.
+over shards of about SHARD_ITEMS by a digest of their id and number among rows that repeat it, and every
+shard is packed by itself, so the work is linear, one item that holds a third of all rows is spread like any
+other, and only a shard's last open containers can be poorly filled.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from millrace.session import Scratch, bounded_broadcast, ship, text_batches
 
 #: Items a shard holds on average; a shard is packed in one task.
 SHARD_ITEMS = 20_000
+#: Repeated rows are counted first and spread in blocks of so many.
+BLOCK = 10_000
 #: Items are packed once per capacity; more capacities are refused.
 MOST_CAPACITIES = 1000
 
@@ -59,6 +62,15 @@ def split_sizes(ids: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.n
     return at, no, np.where(no < pieces[at] - 1, capacity, sizes[at] - no * capacity)
 
 
+def numbered(items: DataFrame) -> DataFrame:
+    """(doc_id, tokens, copy): rows that repeat one id and size are numbered without being brought together: they are
+    counted with map-side combine, and the count is unfolded in blocks."""
+    counted = items.groupBy("doc_id", "tokens").agg(F.count("*").alias("n"))
+    blocks = counted.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {BLOCK}"))))
+    first = F.col("_b") * BLOCK
+    return blocks.withColumn("copy", F.explode(F.sequence(first, F.least(first + BLOCK, F.col("n")) - 1))).select("doc_id", "tokens", "copy")
+
+
 def pack(documents: DataFrame, capacities: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(capacity_id, container_id, doc_id, piece, tokens), one row per piece.
 
@@ -80,7 +92,7 @@ def pack(documents: DataFrame, capacities: DataFrame, scratch: Scratch | None =
     if not caps:
         return spark.createDataFrame([], schema)
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("capacity_id"), F.lit(c).alias("capacity")) for i, c in caps]))
-    spread = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(shards))).withColumn("_c", each).select("doc_id", "tokens", "shard", "_c.*")
+    spread = numbered(items).withColumn("shard", F.pmod(F.xxhash64("doc_id", "tokens", "copy"), F.lit(shards))).withColumn("_c", each).select("doc_id", "tokens", "shard", "_c.*")
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         capacity, shard = int(rows["capacity"].iloc[0]), int(rows["shard"].iloc[0])

@@ -126,3 +126,12 @@ def test_mixing_edges(frame):
     assert got.count() == 0 and rows(m.shares(got), "source", "actual_share") == [("a", 0.0)]
     same = mixing.Mixer(frame([(1, "t t t", "a", "", "")] * 4, DOCS), frame([("a", 1.0, 2)], TARGETS)).sample()
     assert rows(same, "doc_id", "copies") == [(1, 2)] * 4
+
+
+def test_one_repeated_item_is_spread_over_shards(spark, frame, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 7)
+    items = spark.range(100).selectExpr("CAST(5 AS BIGINT) doc_id", "CAST(3 AS BIGINT) tokens").unionByName(spark.range(3).selectExpr("id doc_id", "CAST(NULL AS BIGINT) tokens"))
+    got = rows(packing.numbered(items))
+    assert got == sorted([(5, 3, i) for i in range(100)] + [(i, None, 0) for i in range(3)], key=repr)
+    shards = packing.numbered(items.filter("doc_id = 5")).selectExpr("pmod(xxhash64(doc_id, tokens, copy), 4) s").groupBy("s").count().collect()
+    assert len(shards) == 4 and all(10 < r["count"] < 45 for r in shards)
