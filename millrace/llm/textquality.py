@@ -3,8 +3,9 @@
 The weak labels come from labelers that look at other things than the trees do (textstats.weak_vote), and may
 abstain. `examples.csv` holds the statistics of 400 weakly labelled documents that every training set starts with,
 so that a table of any size, even an empty one, is judged in the same way. `holdout.csv` holds the statistics of
-220 documents that were read by hand, hard ones on purpose among them; none of them is ever trained on. One half of it
-calibrates the probabilities, the other half measures them (`report`).
+212 documents whose beginning, middle and end were read and which were then labelled by hand, 60 doubtful ones on
+purpose among them; none of them is ever trained on. One half of it calibrates the probabilities, the other half
+measures them (`report`).
 """
 
 from __future__ import annotations
