@@ -82,6 +82,14 @@ def test_any_number_of_files_a_batch_gives_the_same(spark, frame):
     assert found(spark, df, 1) == found(spark, df, 2) == found(spark, df, 3)
 
 
+def test_nothing_changes_where_nothing_may_be_broadcast(spark, frame, monkeypatch):
+    df = frame(make(3, 60)[0], DDL)
+    want = found(spark, df, 2)
+    monkeypatch.setattr(linkage, "FETCH_ROWS", -1)
+    monkeypatch.setattr(linkage, "bounded_broadcast", lambda df, rows=0: df.hint("shuffle_merge"))
+    assert want and found(spark, df, 2) == want
+
+
 def numbered(frame, data):
     """One file's rides, as `accept` takes them."""
     return linkage.rides(frame(data, DDL))
