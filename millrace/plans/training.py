@@ -174,6 +174,25 @@ _DRIFT = f"""{_KINDS}, plain AS (SELECT DISTINCT file, name, lower(regexp_replac
  now AS (SELECT no, files.file, field, name, kind FROM fields JOIN files USING (file)),
  both_ AS (SELECT f.file, coalesce(a.field, b.field) field, a.name an, b.name bn, a.kind ak, b.kind bk FROM now a FULL JOIN now b ON b.no = a.no + 1 AND a.field = b.field JOIN files f ON f.no = coalesce(b.no, a.no + 1))
 SELECT file AS source_file, field AS field_name, change_kind FROM (SELECT *, unnest([CASE WHEN an IS NULL THEN 'added' WHEN bn IS NULL THEN 'removed' WHEN an <> bn THEN 'renamed' END, CASE WHEN ak <> bk THEN 'retyped' END]) change_kind FROM both_) WHERE change_kind IS NOT NULL AND file <> (SELECT file FROM files WHERE no = 1)"""
+#: What the files call the columns besides their own names.
+_SPELLINGS = {"airport_fee": ["Airport_fee"], "ratecodeid": ["rate_code"], "pulocationid": ["pu_location_id"], "tip_amount": ["tipAmount", "tip_amt"]}
+
+
+def _unified(c: str, kind: str) -> str:
+    rest = "coalesce(" + ", ".join(f"json_extract_string(r, '$.\"{n}\"')" for n in [c, *_SPELLINGS.get(c, [])]) + ")"
+    if kind == "timestamp":
+        return f"coalesce({c}, try_strptime({rest}, '%d.%m.%Y %H:%M:%S'), CAST(epoch_ms(TRY_CAST({rest} AS BIGINT)) AS TIMESTAMP)) AS {c}"
+    if kind == "text":
+        return f"coalesce({c}, {rest}) AS {c}"
+    return f"coalesce({c}, TRY_CAST({rest} AS DOUBLE)) AS {c}" if kind == "decimal" else f"coalesce({c}, CAST(TRY_CAST({rest} AS DOUBLE) AS {'BIGINT' if c == 'record_id' else 'INTEGER'})) AS {c}"
+
+
+def _further(n: str) -> str:
+    """A field without a column is text; decimal numbers are written without trailing zeros."""
+    v = f"json_extract_string(r, '$.\"{n}\"')"
+    return f"CASE WHEN json_type(r, '$.\"{n}\"') = 'DOUBLE' THEN rtrim(rtrim({v}, '0'), '.') ELSE {v} END AS {n}"
+
+
 _READINGS = f"""v AS (SELECT trip_id, meter_id, pickup_ts, unnest([{", ".join(f"'{r.name}'" for r in READINGS)}]) AS reading, unnest([{", ".join(r.name for r in READINGS)}]) AS v,
  unnest([{", ".join(f"{r.highest}" for r in READINGS)}]) AS most FROM (SELECT DISTINCT trip_id, meter_id, pickup_ts, {", ".join(r.name for r in READINGS)} FROM yellow_trips))"""
 
@@ -182,6 +201,8 @@ ORACLE = {
     "p5_stuck": f"""WITH {_READINGS}, n AS (SELECT *, CASE WHEN v IS NOT DISTINCT FROM lag(v) OVER w AND v IS NOT NULL THEN 0 ELSE 1 END AS new FROM v WHERE meter_id IS NOT NULL WINDOW w AS (PARTITION BY meter_id, reading ORDER BY pickup_ts NULLS FIRST, trip_id)),
  g AS (SELECT *, sum(new) OVER (PARTITION BY meter_id, reading ORDER BY pickup_ts NULLS FIRST, trip_id) AS g FROM n)
 SELECT DISTINCT trip_id, reading FROM g QUALIFY count(*) OVER (PARTITION BY meter_id, reading, g) >= 6 AND v IS NOT NULL""",
+    "p6_unified": "SELECT " + ", ".join(_unified(c, k) for c, k in _RAW.items()) + ", " + ", ".join(map(_further, ("cbd_fee", "driver_note", "trip_mode")))
+                  + ", _source_file, _ingested_at FROM (SELECT *, _rescued_data AS r FROM yellow_trips_raw)",
     "p6_kinds": f"WITH {_KINDS} SELECT * FROM kinds",
     "p6_found": f"WITH {_DRIFT}",
     "p1_found": f"WITH {_SEGMENT}, {_VALID}, w AS (SELECT zone_id, arg_max(zone_key, (f, zone_key)) newest FROM z GROUP BY zone_id) SELECT DISTINCT trip_id, zone_key FROM v JOIN w USING (zone_id) WHERE zone_key <> newest",
