@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.times import yyyymmdd
+from millrace.operators import spikes
 from millrace.operators.asof import AsOf, Versions
 from millrace.operators.drift import LandedTable
 from millrace.operators.history import build_history, change_events, latest_per_snapshot
@@ -196,11 +197,41 @@ def _further(n: str) -> str:
 _READINGS = f"""v AS (SELECT trip_id, meter_id, pickup_ts, unnest([{", ".join(f"'{r.name}'" for r in READINGS)}]) AS reading, unnest([{", ".join(r.name for r in READINGS)}]) AS v,
  unnest([{", ".join(f"{r.highest}" for r in READINGS)}]) AS most FROM (SELECT DISTINCT trip_id, meter_id, pickup_ts, {", ".join(r.name for r in READINGS)} FROM yellow_trips))"""
 
+_STUCK = """n AS (SELECT *, CASE WHEN v IS NOT DISTINCT FROM lag(v) OVER w AND v IS NOT NULL THEN 0 ELSE 1 END AS new FROM v WHERE meter_id IS NOT NULL WINDOW w AS (PARTITION BY meter_id, reading ORDER BY pickup_ts NULLS FIRST, trip_id)),
+ g AS (SELECT *, sum(new) OVER (PARTITION BY meter_id, reading ORDER BY pickup_ts NULLS FIRST, trip_id) AS g FROM n),
+ stuck AS (SELECT DISTINCT trip_id, reading FROM g QUALIFY count(*) OVER (PARTITION BY meter_id, reading, g) >= 6 AND v IS NOT NULL)"""
+_QUARTILES = ", ".join(f"(min(cell) FILTER (c >= t * {p}) + 0.5) * ln(1 + {spikes.CELL}) AS q{i}" for i, p in ((1, 0.25), (2, 0.5), (3, 0.75)))
+_HALF = round(spikes.HALF_WINDOW / spikes.STEP)
+#: Sketches, levels, fitted expansions, fences and jumps, step by step as the operator's docstrings define them.
+_SPIKES = f"""{_READINGS}, {_STUCK}, c AS (SELECT *, CAST(floor(coalesce(hour(pickup_ts), 0) * 4 / 24) AS INTEGER) AS ctx FROM v),
+ sk AS (SELECT meter_id AS s, ctx, reading, CAST(floor(ln(v) / ln(1 + {spikes.CELL})) AS INTEGER) AS cell, count(*) AS n FROM c WHERE meter_id IS NOT NULL AND v > 0 AND v <= most GROUP BY ALL),
+ wr AS (SELECT *, sum(n) OVER (PARTITION BY s, reading ORDER BY cell) AS c, sum(n) OVER (PARTITION BY s, reading) AS t FROM (SELECT s, reading, cell, sum(n) AS n FROM sk GROUP BY ALL)),
+ w AS (SELECT s, reading, max(t) AS n, {_QUARTILES} FROM wr GROUP BY s, reading HAVING max(t) >= {spikes.LEAST_READINGS}),
+ p AS (SELECT reading, sum(n * (q2 - q1)) / sum(n) AS pd, sum(n * (q3 - q2)) / sum(n) AS pu FROM w GROUP BY reading),
+ pr AS (SELECT *, sum(n) OVER (PARTITION BY s, ctx, reading ORDER BY cell) AS c, sum(n) OVER (PARTITION BY s, ctx, reading) AS t FROM sk),
+ part AS (SELECT s, ctx, reading, max(t) AS cn, {_QUARTILES} FROM pr GROUP BY s, ctx, reading),
+ lv AS (SELECT w.s, x.ctx, w.reading, (coalesce(part.q2, w.q2) * coalesce(cn, 0) + w.q2 * {spikes.CONTEXT_WEIGHT}) / (coalesce(cn, 0) + {spikes.CONTEXT_WEIGHT}) AS level,
+  ((w.q2 - w.q1) * w.n + pd * {spikes.SPREAD_WEIGHT}) / (w.n + {spikes.SPREAD_WEIGHT}) AS down, ((w.q3 - w.q2) * w.n + pu * {spikes.SPREAD_WEIGHT}) / (w.n + {spikes.SPREAD_WEIGHT}) AS up
+  FROM w JOIN p USING (reading) CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS ctx) x LEFT JOIN part ON part.s = w.s AND part.ctx = x.ctx AND part.reading = w.reading),
+ d AS (SELECT reading, x > 0 AS above, CAST(round((CASE WHEN x > 0 THEN x - up ELSE -x - down END) / greatest(up + down, {spikes.CELL}) / {spikes.STEP}) AS INTEGER) AS away, n
+  FROM (SELECT sk.reading, (cell + 0.5) * ln(1 + {spikes.CELL}) - level AS x, up, down, n FROM sk JOIN lv ON sk.s = lv.s AND sk.ctx = lv.ctx AND sk.reading = lv.reading)),
+ grid AS (SELECT reading, above, k FROM (SELECT DISTINCT reading FROM lv), (SELECT unnest([true, false]) AS above), (SELECT unnest(range({round(spikes.EXPANSIONS[0] / spikes.STEP)}, {round(spikes.EXPANSIONS[1] / spikes.STEP)} + 1)) AS k)),
+ score AS (SELECT g.reading, g.above, k, coalesce(sum(n), 0) + 0.5 * abs(k * {spikes.STEP} - {spikes.EXPANSION}) AS score FROM grid g LEFT JOIN d ON d.reading = g.reading AND d.above = g.above AND away BETWEEN k - {_HALF} AND k + {_HALF} GROUP BY g.reading, g.above, k),
+ ex AS (SELECT reading, arg_min(k, (score, k)) FILTER (above) * {spikes.STEP} AS eu, arg_min(k, (score, k)) FILTER (NOT above) * {spikes.STEP} AS ed FROM score GROUP BY reading),
+ fence AS (SELECT s, ctx, lv.reading, exp(level - down - iqr * ed) AS lo, exp(level + up + iqr * eu) AS hi, exp(level - down - iqr * {spikes.INNER}) AS ilo, exp(level + up + iqr * {spikes.INNER}) AS ihi
+  FROM (SELECT *, greatest(up + down, {spikes.CELL}) AS iqr FROM lv) lv JOIN ex USING (reading)),
+ nb AS (SELECT *, lag(v) OVER o AS pv, lead(v) OVER o AS nv FROM c WINDOW o AS (PARTITION BY meter_id, reading ORDER BY pickup_ts NULLS FIRST, trip_id)),
+ j AS (SELECT nb.*, lo, hi, ilo, ihi, isnan(v) OR v < 0 OR v > most AS bad FROM nb LEFT JOIN fence ON fence.s = nb.meter_id AND fence.ctx = nb.ctx AND fence.reading = nb.reading),
+ flags AS (SELECT trip_id, reading, 'impossible' AS reason FROM j WHERE bad UNION SELECT trip_id, reading, CASE WHEN v > hi THEN 'above fence' ELSE 'below fence' END FROM j WHERE NOT bad AND (v > hi OR v < lo)
+  UNION SELECT trip_id, reading, 'jump' FROM j WHERE (v > ihi OR v < ilo) AND NOT isnan(v) AND NOT isnan(pv) AND NOT isnan(nv) AND v > 0 AND pv > 0 AND nv > 0
+   AND CASE WHEN v > 0 AND pv > 0 AND nv > 0 THEN abs(ln(v) - ln(pv)) > ln({spikes.JUMP}) AND abs(ln(v) - ln(nv)) > ln({spikes.JUMP}) END
+  UNION SELECT trip_id, reading, 'stuck' FROM stuck)"""
+
 ORACLE = {
+    "p5_flags": f"WITH {_SPIKES} SELECT * FROM flags",
+    "p5_found": f"WITH {_SPIKES} SELECT DISTINCT trip_id FROM flags",
     "p5_impossible": f"WITH {_READINGS} SELECT DISTINCT trip_id, reading FROM v WHERE isnan(v) OR v < 0 OR v > most",
-    "p5_stuck": f"""WITH {_READINGS}, n AS (SELECT *, CASE WHEN v IS NOT DISTINCT FROM lag(v) OVER w AND v IS NOT NULL THEN 0 ELSE 1 END AS new FROM v WHERE meter_id IS NOT NULL WINDOW w AS (PARTITION BY meter_id, reading ORDER BY pickup_ts NULLS FIRST, trip_id)),
- g AS (SELECT *, sum(new) OVER (PARTITION BY meter_id, reading ORDER BY pickup_ts NULLS FIRST, trip_id) AS g FROM n)
-SELECT DISTINCT trip_id, reading FROM g QUALIFY count(*) OVER (PARTITION BY meter_id, reading, g) >= 6 AND v IS NOT NULL""",
+    "p5_stuck": f"WITH {_READINGS}, {_STUCK} SELECT * FROM stuck",
     "p6_unified": "SELECT " + ", ".join(_unified(c, k) for c, k in _RAW.items()) + ", " + ", ".join(map(_further, ("cbd_fee", "driver_note", "trip_mode")))
                   + ", _source_file, _ingested_at FROM (SELECT *, _rescued_data AS r FROM yellow_trips_raw)",
     "p6_kinds": f"WITH {_KINDS} SELECT * FROM kinds",
