@@ -9,7 +9,7 @@ from millrace.functions.times import yyyymmdd
 from millrace.operators import spikes
 from millrace.operators.asof import AsOf, Versions
 from millrace.operators.drift import LandedTable
-from millrace.operators.history import build_history, change_events, latest_per_snapshot
+from millrace.operators.history import Snapshots
 from millrace.operators.orphans import OrphanFinder, Reference
 from millrace.operators.spikes import Reading, SpikeDetector
 from millrace.session import table
@@ -59,27 +59,27 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphan_finder(spark, d).counts()
 
 
-def zone_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """One row per zone and snapshot, ids as numbers, attributes trimmed and empty text null."""
-    blank = r"[\s\u00a0]+"
-    number = F.regexp_replace("locationid", blank, "")
-    rows = table(spark, d, "taxi_zone_lookup").withColumn("zone_id", F.when(number.rlike(r"^\d+$"), number.try_cast("int")))
-    clean = {c: F.nullif(F.regexp_replace(c, r"^[\s\u00a0]+|[\s\u00a0]+$", ""), F.lit("")) for c in ZONE_ATTRIBUTES}
-    return latest_per_snapshot(rows.withColumns(clean), "snapshot_date", "zone_id", ZONE_ATTRIBUTES, "_ingested_at")
+def zone_snapshots(spark: SparkSession, d: str) -> Snapshots:
+    """The rows of the zone file, ids as numbers, attributes trimmed and empty text null."""
+    blank = " \t\n\u000b\f\r\u00a0"
+    plain, freed = F.col("locationid"), F.translate("locationid", blank, "")
+    digits = r"^\d+$"
+    number = F.when(plain.rlike(digits), plain.try_cast("int")).when(freed.rlike(digits), freed.try_cast("int"))
+    rows = table(spark, d, "taxi_zone_lookup").withColumn("zone_id", number)
+    return Snapshots(rows, "snapshot_date", "zone_id", ZONE_ATTRIBUTES, "_ingested_at", lambda c: F.nullif(F.btrim(c, F.lit(blank)), F.lit("")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    h = build_history(zone_snapshots(spark, d), "snapshot_date", "zone_id", ZONE_ATTRIBUTES)
+    h = zone_snapshots(spark, d).history()
     return h.select("zone_id", yyyymmdd("valid_from").alias("valid_from_day"), F.coalesce(yyyymmdd("valid_to"), F.lit(99991231)).alias("valid_to_day"))
 
 
 def p3_history(spark: SparkSession, d: str) -> DataFrame:
-    return build_history(zone_snapshots(spark, d), "snapshot_date", "zone_id", ZONE_ATTRIBUTES)
+    return zone_snapshots(spark, d).history()
 
 
 def p3_changes(spark: SparkSession, d: str) -> DataFrame:
-    ev = change_events(zone_snapshots(spark, d), "snapshot_date", "zone_id", ZONE_ATTRIBUTES)
-    return ev.select("zone_id", "snapshot_date", "change")
+    return zone_snapshots(spark, d).changes().select("zone_id", "snapshot_date", "change")
 
 
 def detector() -> SpikeDetector:
