@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.times import yyyymmdd
 from millrace.operators import spikes
 from millrace.operators.asof import AsOf, Versions
 from millrace.operators.drift import LandedTable
-from millrace.operators.history import Snapshots
+from millrace.operators.history import Snapshots, latest_per_snapshot
 from millrace.operators.orphans import OrphanFinder, Reference
 from millrace.operators.spikes import Reading, SpikeDetector
 from millrace.session import table
@@ -59,27 +59,43 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphan_finder(spark, d).counts()
 
 
-def zone_snapshots(spark: SparkSession, d: str) -> Snapshots:
-    """The rows of the zone file, ids as numbers, attributes trimmed and empty text null."""
-    blank = " \t\n\u000b\f\r\u00a0"
-    plain, freed = F.col("locationid"), F.translate("locationid", blank, "")
+BLANKS = " \t\n\u000b\f\r\u00a0"
+
+
+def trimmed(c: Column) -> Column:
+    """Without outer blanks; empty text is null."""
+    return F.nullif(F.btrim(c, F.lit(BLANKS)), F.lit(""))
+
+
+def zone_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of the zone file with their ids as numbers."""
+    plain, freed = F.col("locationid"), F.translate("locationid", BLANKS, "")
     digits = r"^\d+$"
     number = F.when(plain.rlike(digits), plain.try_cast("int")).when(freed.rlike(digits), freed.try_cast("int"))
-    rows = table(spark, d, "taxi_zone_lookup").withColumn("zone_id", number)
-    return Snapshots(rows, "snapshot_date", "zone_id", ZONE_ATTRIBUTES, "_ingested_at", lambda c: F.nullif(F.btrim(c, F.lit(blank)), F.lit("")))
+    return table(spark, d, "taxi_zone_lookup").withColumn("zone_id", number)
+
+
+def zone_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """One row per zone and snapshot, ids as numbers, attributes trimmed and empty text null."""
+    rows = zone_rows(spark, d).withColumns({c: trimmed(F.col(c)) for c in ZONE_ATTRIBUTES})
+    return latest_per_snapshot(rows, "snapshot_date", "zone_id", ZONE_ATTRIBUTES, "_ingested_at")
+
+
+def compared(spark: SparkSession, d: str) -> Snapshots:
+    return Snapshots(zone_rows(spark, d), "snapshot_date", "zone_id", ZONE_ATTRIBUTES, "_ingested_at", trimmed)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    h = zone_snapshots(spark, d).history()
+    h = compared(spark, d).history()
     return h.select("zone_id", yyyymmdd("valid_from").alias("valid_from_day"), F.coalesce(yyyymmdd("valid_to"), F.lit(99991231)).alias("valid_to_day"))
 
 
 def p3_history(spark: SparkSession, d: str) -> DataFrame:
-    return zone_snapshots(spark, d).history()
+    return compared(spark, d).history()
 
 
 def p3_changes(spark: SparkSession, d: str) -> DataFrame:
-    return zone_snapshots(spark, d).changes().select("zone_id", "snapshot_date", "change")
+    return compared(spark, d).changes().select("zone_id", "snapshot_date", "change")
 
 
 def detector() -> SpikeDetector:
